@@ -1,0 +1,162 @@
+"""Labelled documents for the text-kind rules, made from a seed: prose, lists, tables and junk in many notations."""
+
+from __future__ import annotations
+
+import random
+import string
+
+_HAN = "春夏秋冬江河湖海山石松柳梅兰菊莲桂枣桃杏梨橘柏桑麦稻云雾雨雪霜星月光风华金银玉珠青紫红白黑东南北新安宁泰和"
+_PLACE = "公园 市场 车站 大桥 书店 古镇 展馆 码头 茶馆 影院 广场 步道 汤 面 饼 豆花 肉丸 米线 甜品 凉菜 排骨 点心".split()
+_THINGS = "毛巾 牙刷 拖鞋 浴袍 空调 电视 冰箱 吹风机 雨伞 沙发 台灯 书桌 衣柜 闹钟 阳台 浴缸 早餐 停车场 健身房 电梯 免费矿泉水 加大枕头 双人床 全新窗帘 茶包 熨斗".split()
+_ADV = "略显 稍微 依旧 始终 整体 实在 真的 确实 比预期 格外 特别 明显 相当 还算 不怎么 不太 一直 有点 非常 很".split()
+_ADJ = "安静 吵闹 宽敞 狭小 干净 老旧 贴心 敷衍 方便 明亮 昏暗 好用 难用 舒服 偏硬 潮湿 清爽 气派 单调 合口味".split()
+_ZH = [
+    "{n}{v}{a}", "{n}和{n}都{v}{a}", "除了{n}{v}{a}，其他都还行", "等了{d}分钟才{v}办好手续", "从{p}走过来大概{d}分钟", "晚上去了{p}，回来时{n}{v}{a}",
+    "点了一份{p}，味道{v}{a}，价格{d}元", "前台帮忙订了{p}的票，还送了{p}", "朋友觉得{n}{v}{a}", "房里摆着{p}的画，{n}也{v}{a}", "服务员推荐了{p}和{p}，家人吃得很满足",
+    "如果{n}能更{a}一些就好了", "房号{d}，能看到{p}的屋顶", "我们{k}月在这里住了{k}晚，出门就是{p}", "综合给{k}.{k}分，{n}扣分", "第{d}次来，{n}{v}{a}", "先后逛了{p}、{p}和{p}，孩子走累了",
+    "{p}、{p}、{p}都在附近，走路就到", "打车到{p}花了{d}元，离这里{k}.{k}公里", "门口新开的{p}{v}{a}，{p}值得一试", "押金{d}.00元，单号{d}{d}{d}", "夜里{p}施工，{n}倒是{v}{a}",
+]
+_JA = ["{p}から歩いて{d}分、{n}がとても{a}でした", "{n}は少し{a}でした", "{p}で買ったお菓子を{n}の横で食べました", "どうして{p}行きのバスは{d}分おきなのですか", "近くには{p}、{p}、{p}もあります", "{p}の近くで{p}も見えて、{n}は{a}でした", "{p}の{n}、{p}が近い"]
+_JA_P = "森池公園 松橋市場 川原茶屋 谷沼通り 桜井美術館 島田港".split()
+_JA_N = "ベッド シャワー ロビー 朝食 駐車場 プール 枕 眺め 大浴場".split()
+_JA_A = "静か きれい 快適 豪華 にぎやか 狭め 古め".split()
+_LAT = [
+    "The {w} was rather {j} and the {w} felt {j} after the walk from {N}", "From {N} it takes {d} minutes on foot to reach {N}", "We paid {d} dollars a night, which is fair so close to {N}",
+    "Close by are {M}, {M}, {M} and {M}", "First {M}, then {M}, and at last {M}: a full day", "Would I book the {w} again after the {N} we had", "Our guide ordered the {N} twice because the {w} looked {j}",
+    "Das {w} war recht {j} und die Gäste aus {M} sehr laut", "Von {M} nach {M} braucht man {d} Minuten zu Fuß", "Vorher waren wir in {M}, {M}, {M} und {M}", "Für {d} Euro pro Nacht ist {M} günstig",
+    "Le {w} était très {j}, à deux pas de {M}", "Depuis {M}, comptez {d} minutes à pied jusqu’à {M}", "À voir : {M}, {M}, puis {M} et {M} ", "Pourquoi le bus de {M} passe-t-il si rarement",
+    "La {w} nos pareció muy {j}, cerca de {M}", "Pasamos también por {M}, {M}, {M} y {M}", "Desde {M} se tarda {d} minutos a pie hasta {M}", "El {w} es demasiado {j} para los niños de {M}",
+]
+_W = "bed shower lobby breakfast lift pool view parking balcony Zimmer Aufzug Parkplatz lit douche chambre cama habitación recepción".split()
+_J = "quiet noisy tidy dated bright reliable hell ruhig sauber calme propre bruyant tranquila limpia ruidosa".split()
+_TAIL = "Garden Market Bridge Theatre Museum Library soup stew salad noodles tart pie risotto omelette".split()
+_SHORT = "满意|一般|不错|很好|还可以|环境好|房间干净|下次再来|没什么可说的|总体满意，会再来|强烈推荐给大家|中规中矩|性价比高|不会再来|nice stay|good|very good|ok|great location|too noisy|gut|très bien|muy bien|とても良い|普通|10/10|+1|好|赞|值|Perfect!|推荐".split("|")
+
+
+class _Maker:
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def pick(self, xs):  # noqa: ANN001, ANN201
+        return self.r.choice(xs)
+
+    def place(self) -> str:
+        return "".join(self.r.choice(_HAN) for _ in range(self.r.randint(2, 3))) + self.pick(_PLACE)
+
+    def name(self) -> str:
+        return "".join(self.pick("b d f g h j k l m n p r s t v w z".split()) + self.pick("aeiou") for _ in range(self.r.randint(2, 4))).capitalize()
+
+    def latin(self) -> str:
+        return self.name() + self.pick(["", "ley", "ford", "wood", "holm"]) + " " + self.pick(_TAIL)
+
+    def thing(self, kind: str) -> str:
+        if kind == "zh":
+            return self.place() if self.r.random() < 0.6 else self.pick(_THINGS)
+        if kind == "ja":
+            return self.pick(_JA_P) if self.r.random() < 0.6 else self.pick(_JA_N)
+        return self.latin()
+
+    def fill(self, s: str, kind: str) -> str:
+        zh = kind == "zh"
+        table = {"n": lambda: self.pick(_THINGS if zh else _JA_N), "p": lambda: self.place() if zh else self.pick(_JA_P), "v": lambda: self.pick(_ADV), "a": lambda: self.pick(_ADJ if zh else _JA_A), "d": lambda: str(self.r.randint(2, 900)), "k": lambda: str(self.r.randint(1, 9)), "w": lambda: self.pick(_W), "j": lambda: self.pick(_J), "N": self.latin, "M": self.name}
+        out, i = [], 0
+        while i < len(s):
+            if s[i] == "{":
+                out.append(table[s[i + 1]]())
+                i += 3
+            else:
+                out.append(s[i])
+                i += 1
+        return "".join(out)
+
+    def kind(self) -> str:
+        return self.r.choices(["zh", "ja", "la"], [7, 2, 3])[0]
+
+    def sentence(self, kind: str) -> str:
+        return self.fill(self.pick({"zh": _ZH, "ja": _JA, "la": _LAT}[kind]), kind)
+
+    def prose(self) -> str:
+        if self.r.random() < 0.12:
+            return self.pick(_SHORT)
+        kind, n = self.kind(), self.r.randint(1, 9)
+        ends = ["。", "！", "，", "；"] if kind != "la" else [". ", "! ", "? "]
+        how = self.r.random()
+        xs = [self.sentence(kind) for _ in range(n)]
+        if how < 0.13:
+            mark = self.pick(["。", "", "！"]) if kind != "la" else "."
+            return "\n".join(f"{i + 1}{self.pick(['. ', '、', ') '])}{x}{mark}" for i, x in enumerate(xs))
+        if how < 0.22:
+            return "\n".join(x + (self.pick(ends).strip() if self.r.random() < 0.5 else "") for x in xs)
+        if how < 0.3 and kind != "la":
+            return "  ".join(xs)
+        tail = self.pick(["", "", "", "😀👍", "哈哈哈哈哈，真的太好笑了", "~~", "！！！", "（" + self.pick(_SHORT) + "）", " contact a.b@mail.org 1380000" + str(self.r.randint(1000, 9999))])
+        return "".join(x + self.pick(ends) for x in xs).strip() + tail
+
+    def list(self) -> str:
+        kind, n = self.kind(), self.r.randint(3, 18)
+        xs = [self.thing(kind) for _ in range(n)]
+        head = self.pick(["", "", "", "", "设施清单：\n", "【必带】", "List:\n", "包含：", "推荐：\n"])
+        how = self.r.randrange(8)
+        if how < 3:
+            mark = self.pick(["- ", "* ", "• ", "✓ ", "· ", "+ ", "☐ "])
+            marks = [mark, self.pick(["✗ ", "✓ ", mark])] if mark in "✓ ☐ " else [mark]
+            return head + "\n".join(self.pick(marks) + x for x in xs)
+        if how == 3:
+            return head + "\n".join(f"{i + 1}{self.pick(['. '])}{x}" for i, x in enumerate(xs))
+        if how == 4:
+            return head + "\n".join(xs)
+        return head.strip() + self.pick(["、", " / ", ", ", "，", "；", " | ", "/"] if kind != "la" else [", ", " / ", "; ", " | "]).join(xs) + self.pick(["", "", ".", "。"] if how == 5 else [""])
+
+    def table(self) -> str:
+        kind, n = self.kind(), self.r.randint(2, 12)
+        rows = [(self.thing(kind), str(self.r.randint(5, 999)), f"{self.r.randint(1, 9)}.{self.r.randint(0, 9)}") for _ in range(n)]
+        how = self.r.randrange(9)
+        if how == 0:
+            return "| 项目 | 价格 | 评分 |\n|---|---|---|\n" + "\n".join("| " + " | ".join(x) + " |" for x in rows)
+        if how == 1:
+            return self.pick(["名称,元,分\n", "", "name,price,score\n"]) + "\n".join(",".join(x) for x in rows)
+        if how == 2:
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in x) + "</tr>" for x in rows) + "</table>"
+        if how == 3:
+            return "\n".join(f"{a:<{self.r.randint(12, 16)}}{b:>5}   {c}" for a, b, c in rows)
+        if how == 4:
+            return " ".join(f"{a}={b}/{c};" for a, b, c in rows)
+        if how == 5:
+            return "\n".join("\t".join(x) for x in rows)
+        if how == 6:
+            return "\n".join(f"{a}{self.pick(['：'])}{c}{self.pick(['分', '', '元'])}" for a, b, c in rows)
+        if how == 7:
+            return "{" + ", ".join(f'"{a}": {c}' for a, b, c in rows) + "}"
+        return "\n".join(f"{a}: {b}" for a, b, c in rows)
+
+    def junk(self) -> str:
+        n, how = self.r.randint(8, 90), self.r.randrange(11)
+        if how == 0:
+            return "".join(self.pick(string.ascii_letters + string.digits + "+/") for _ in range(n)) + self.pick(["", "=", "=="])
+        if how == 1:
+            return "".join(self.pick("!?&%$#@^*()_+=|<>~/-") for _ in range(n))
+        if how == 2:
+            return "".join(chr(0x1F600 + self.r.randrange(70)) for _ in range(n))
+        if how == 3:
+            return self.fill(self.sentence("zh"), "zh").encode().decode("latin-1")
+        if how == 4:
+            return "".join(self.pick("æçåéÃÂ¶€œ¤¥©�����") for _ in range(n))
+        if how == 5:
+            names = [self.name().lower() for _ in range(max(2, n // 12))]
+            return "".join(self.pick([f'<span class="{x}-tip">', f"<li id={x}>", "&nbsp;", f"{{{{{x}}}}}", f'<p class="{x}">', f"</{self.pick(['div', 'p', 'span'])}>", "<br/>"]) for x in names * 2)
+        if how == 6:
+            return "".join(self.pick("qwertyuiopasdfghjklzxcvbnm;'" if self.r.random() < 0.5 else "sdfghjklwrtxcv") for _ in range(n))
+        if how == 7:
+            return self.pick(["好", "棒", "赞", "a", "1", "6", "。", "!", ".", "哈", "-", "0", "？"]) * n
+        if how == 8:
+            return self.pick([" ", "", "，"]).join([self.pick(["ok", "wow", "good", "不错", "很好", "推荐", "test", "lol"])] * max(5, n // 5))
+        if how == 9:
+            return "".join(chr(self.r.randrange(0x4E00, 0x9FA5)) for _ in range(n // 3 + 6))
+        return "".join(self.pick("★☆●■◆→←↑↓※§▲▼♥♪✿") for _ in range(n))
+
+
+def documents(n: int, seed: int) -> list[tuple[str, str]]:
+    """``n`` (label, text) rows: half prose, the rest lists, tables and junk in equal parts."""
+    m = _Maker(seed)
+    makers = [("prose", m.prose)] * 3 + [("list", m.list), ("table", m.table), ("junk", m.junk)]
+    return [(label, make()) for label, make in (makers[i % len(makers)] for i in range(n))]
