@@ -71,7 +71,7 @@ def _soft_breaks(text: str) -> set[int]:
     for i in range(len(lines) - 1):
         at += len(lines[i])
         a, b = lines[i].rstrip(), lines[i + 1].strip()
-        if a and b and not _ITEM.match(lines[i + 1]):
+        if a and b and not (_ITEM.match(lines[i + 1]) and not (b[0].isdigit() and 50 <= lengths[i] <= 120)):
             tail = a.rstrip("\"”’」』）)]»›“")
             first, width = b[0], widths[i]
             if first in sterm or first in _CLOSE:
