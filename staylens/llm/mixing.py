@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -143,7 +143,7 @@ def mixture_shares(documents: DataFrame, targets: DataFrame, id_col: str = "doc_
     plans = plan_mixture(sized, targets, total_tokens)
     known = documents.sparkSession.createDataFrame([(p.source, p.target_weight, p.max_repeats, p.n_docs, p.source_tokens, p.mean) for p in plans], "source string, target_weight double, max_repeats int, n_docs long, source_tokens long, mean_repeats double")
     drawn = _drawn(sized, plans).groupBy("source").agg(F.sum("copies").cast("long").alias("n_rows"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens"), F.max("copies").alias("most_repeats"))
-    total = drawn.agg(F.sum("n_tokens").alias("total"))
-    out = known.join(drawn, "source", "left").join(F.broadcast(total))
+    # one row a target: the total is taken over this table of bounded size
+    out = known.join(drawn, "source", "left").withColumn("total", F.sum("n_tokens").over(Window.partitionBy(F.lit(1))))
     zero = F.lit(0)
     return out.select("source", "target_weight", "max_repeats", "n_docs", "source_tokens", "mean_repeats", F.coalesce("n_rows", zero).alias("n_rows"), F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("most_repeats", zero).alias("most_repeats"), F.coalesce(F.col("n_tokens") / F.col("total"), F.lit(0.0)).alias("actual_share"))
