@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
 
 
+def _four(c: str) -> Column:
+    """Four places, half up on the decimal digits."""
+    return F.round(F.col(c).cast("decimal(18,6)"), 4).cast("double")
+
+
 def first_summaries(hits: DataFrame) -> DataFrame:
     """One row a query and category: the first by sub-query and rank."""
     rest = [c for c in hits.columns if c not in ("query_id", "category")]
@@ -35,7 +40,7 @@ def context(summaries: DataFrame, comments: DataFrame) -> DataFrame:
 def result_rows(final: DataFrame) -> DataFrame:
     """What is shown of the final comments: rounded scores and a 300-character preview."""
     return final.select(
-        "query_id", F.col("final_rank").alias("rank"), F.round("final_score", 4).alias("score"), F.round("rerank_score", 4).alias("rerank_score"), "doc_id", "room_type", "score_val", "publish_date", "quality_score",
+        "query_id", F.col("final_rank").alias("rank"), _four("final_score").alias("score"), _four("rerank_score").alias("rerank_score"), "doc_id", "room_type", "score_val", "publish_date", "quality_score",
         preview(F.col("comment"), 300).alias("comment"), "routes",
     )
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checkpointed
 
@@ -55,6 +56,7 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
     names = list(filters)
     cols = collection.select(key, "embedding", *names)
     kind, qkind = collection.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    arrow_key, arrow_query = to_arrow_type(collection.schema[key].dataType), to_arrow_type(queries.schema["query_id"].dataType)
     out = None
     for ids, q, wanted in _blocks(queries, list(filters.values())):
         scale = np.ones(len(q)) if unit else 1 / np.maximum(np.linalg.norm(q, axis=1), 1e-300)
@@ -93,7 +95,7 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
             if got:
                 n = [len(s) for _, s, _ in got]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([i for i, _, _ in got], n).tolist()), pa.array(np.concatenate([w for _, _, w in got]).tolist()), pa.array(np.concatenate([s for _, s, _ in got]))],
+                    [pa.array(np.repeat([i for i, _, _ in got], n).tolist(), arrow_query), pa.array(np.concatenate([w for _, _, w in got]).tolist(), arrow_key), pa.array(np.concatenate([s for _, s, _ in got]))],
                     names=["query_id", key, "score"],
                 )
 
@@ -133,13 +135,14 @@ class IvfIndex:
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((y @ c.T).argmax(1).astype(np.int32))], names=[key, "embedding", "cell"])
 
-        placed = collection.select(key, "embedding").mapInArrow(assign, f"{key} {kind}, embedding array<float>, cell int")
+        placed = collection.select(key, F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(assign, f"{key} {kind}, embedding array<float>, cell int")
         return cls(checkpointed(placed), c, key)
 
     def search(self, queries: DataFrame, k: int, probes: int = 8, digits: int = 6) -> DataFrame:
         """As ``cosine_topk`` over the ``probes`` nearest cells of each query; a hot cell stays spread over tasks."""
         key, c = self.key, self.centres
         kind, qkind = self.rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+        arrow_query = to_arrow_type(queries.schema["query_id"].dataType)
         out = None
         for ids, q, _ in _blocks(queries, []):
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -159,7 +162,7 @@ class IvfIndex:
                     s = np.take_along_axis(scores, top, 0)
                     ok = np.isfinite(s)
                     j = np.broadcast_to(np.arange(len(ids)), s.shape)[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in j]), b.column(0).take(pa.array(rows[top[ok]])), pa.array(s[ok])], names=["query_id", key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in j], arrow_query), b.column(0).take(pa.array(rows[top[ok]])), pa.array(s[ok])], names=["query_id", key, "score"])
 
             part = self.rows.select(key, "embedding", "cell").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double")
             out = part if out is None else out.union(part)

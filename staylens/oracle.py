@@ -25,12 +25,12 @@ CTE: dict[str, tuple[str, str]] = {
     "catv": ("nv ev", "select c.*, ev.e as ce from (select *, row_number() over (order by category) - 1 as no from category_summaries) c, nv join ev on ev.vec_id = no % n"),
     "sw": ("", "select distinct lower(trim(word)) as word from stop_words where trim(word) <> ''"),
     "docs": ("", "select doc_id, min(comment) as comment from comments where doc_id is not null group by doc_id"),
-    "tok": ("docs", "select doc_id, unnest({tokens}) as term from docs".replace("{tokens}", "flatten(list_transform(regexp_extract_all(lower(coalesce(comment, '')), '[a-z]+|[\\x{4e00}-\\x{9fff}]+'), r -> case when regexp_matches(r, '^[a-z]') or length(r) = 1 then [r] else list_transform(range(1, length(r)), i -> substr(r, i, 2)) end))")),
+    "tok": ("docs", "select doc_id, unnest({tokens}) as term from docs".replace("{tokens}", "flatten(list_transform(regexp_extract_all(lower(coalesce(comment, '')), '[a-z]+|[\\x{4e00}-\\x{9fff}]+'), lambda r: case when regexp_matches(r, '^[a-z]') or length(r) = 1 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))")),
     "post": ("tok sw", "select doc_id, term, count(*) as tf from tok where term not in (select word from sw) group by 1, 2"),
     "lens": ("docs post", "select d.doc_id, cast(coalesce(sum(tf), 0) as bigint) as dl from docs d left join post p on p.doc_id = d.doc_id group by 1"),
     "stats": ("lens", "select count(*) as n, coalesce(avg(dl), 0) as avgdl from lens"),
     "df": ("post", "select term, count(*) as df from post group by 1"),
-    "qtok": ("qs sw", "select query_id, term, count(*) as qtf from (select query_id, unnest(flatten(list_transform(regexp_extract_all(lower(coalesce(query, '')), '[a-z]+|[\\x{4e00}-\\x{9fff}]+'), r -> case when regexp_matches(r, '^[a-z]') or length(r) = 1 then [r] else list_transform(range(1, length(r)), i -> substr(r, i, 2)) end))) as term from qs) where term not in (select word from sw) group by 1, 2"),
+    "qtok": ("qs sw", "select query_id, term, count(*) as qtf from (select query_id, unnest(flatten(list_transform(regexp_extract_all(lower(coalesce(query, '')), '[a-z]+|[\\x{4e00}-\\x{9fff}]+'), lambda r: case when regexp_matches(r, '^[a-z]') or length(r) = 1 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))) as term from qs) where term not in (select word from sw) group by 1, 2"),
     "bm": ("qtok df post lens stats", """select * from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
         select query_id, p.doc_id, round(sum({mul} qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score
         from qtok join df using (term) join post p using (term) join lens l on l.doc_id = p.doc_id, stats group by 1, 2)) where rank <= 150""".replace("{mul} ", "")),
@@ -133,7 +133,7 @@ def oracle_sql() -> dict[str, str]:
         "timeliness_off": ("cv", "select doc_id, cast(0.5 as double) as timeliness from cv"),
         "composite_score": ("fin", "select query_id, doc_id, final_score, final_rank from fin"),
         "final_top10": ("fin", "select query_id, doc_id, final_rank from fin where final_rank <= 10"),
-        "result_payload": ("fin", "select query_id, final_rank as rank, round(final_score, 4) as score, round(rerank_score, 4) as rerank_score, doc_id, room_type, score_val, publish_date, quality_score, case when length(comment) > 300 then substr(comment, 1, 300) || '...' else comment end as comment, routes from fin where final_rank <= 10"),
+        "result_payload": ("fin", "select query_id, final_rank as rank, cast(round(cast(final_score as decimal(18,6)), 4) as double) as score, cast(round(cast(rerank_score as decimal(18,6)), 4) as double) as rerank_score, doc_id, room_type, score_val, publish_date, quality_score, case when length(comment) > 300 then substr(comment, 1, 300) || '...' else comment end as comment, routes from fin where final_rank <= 10"),
         "summary_dedupe": ("sfirst", "select query_id, category, query_idx, rank from sfirst"),
         "context_prompt": ("sfirst fin", """select query_id, concat_ws(chr(10) || chr(10), s, c) as context from
             (select query_id, '# Category summaries' || chr(10) || chr(10) || string_agg('- ' || category || ' (' || comment_count || ' comments): ' || summary, chr(10) || chr(10) order by query_idx, rank) as s from sfirst group by 1)
