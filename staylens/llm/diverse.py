@@ -21,6 +21,7 @@ from .neardup import _mix
 from .normalize import real_text, with_normal_form
 
 DIM, CLUSTERS, BATCH, BATCHES = 128, 64, 1024, 24
+NEAR = 0.9  #: squared distance of unit vectors: a cosine of 0.55
 SAMPLE = BATCH * BATCHES  #: bound of the rows the centres are fitted on; every row is assigned
 
 
@@ -45,14 +46,19 @@ def features(column: pa.Array, dim: int = DIM) -> np.ndarray:
 
 
 def minibatch_kmeans(x: np.ndarray, k: int, batch: int = BATCH, seed: int = 5) -> np.ndarray:
-    """Centres (<= k, dim) by mini-batch k-means: seeded far points, then per-centre learning rates over the batches."""
+    """Centres (<= k, dim) by mini-batch k-means: seeded far points, then per-centre learning rates over the batches.
+
+    No point within ``NEAR`` of a centre seeds another, so one large group of like texts is not split
+    into many clusters.
+    """
     if not len(x):
         return np.zeros((0, x.shape[1]))
     rng = np.random.default_rng(seed)
     head = x[: max(batch, 4 * k)]
     centres = [head[0]]
     far = ((head - centres[0]) ** 2).sum(1)
-    while len(centres) < min(k, len(head)) and far.max() > 1e-9:
+    while len(centres) < min(k, len(head)) and far.max() > NEAR:
+        far[far <= NEAR] = 0
         centres.append(head[rng.choice(len(head), p=far / far.sum())])
         far = np.minimum(far, ((head - centres[-1]) ** 2).sum(1))
     c, seen = np.array(centres), np.zeros(len(centres))
@@ -71,10 +77,14 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def quotas(sizes: np.ndarray, places: int) -> np.ndarray:
-    """Places of each cluster: shares by square root, none above its size, unused ones redistributed; ties to the earlier cluster."""
+    """Places of each cluster: one each while they last, the rest by square root, none above its size, unused ones redistributed.
+
+    Where there are fewer places than clusters the largest get one; ties go to the earlier cluster.
+    """
     places = int(min(places, sizes.sum()))
     weight, got = np.sqrt(sizes.astype(float)), np.zeros(len(sizes), np.int64)
-    left = places
+    got[np.lexsort((np.arange(len(sizes)), -sizes))[:places]] = 1
+    left = places - int(got.sum())
     while left > 0:
         room = sizes - got
         w = np.where(room > 0, weight, 0.0)

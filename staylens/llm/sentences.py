@@ -120,7 +120,7 @@ def _suppressed(text: str, dot: int, after: str, german: bool) -> bool:
 def _breaks_in(text: str, s: int, e: int, out: list[int], is_german: bool) -> int:
     """Appends the ends (exclusive) of sentences inside one unit of text; returns the number of marks outside quotations."""
     sterm, full, basic = _marks()
-    token = basic if text.isascii() or max(text[s:e]) <= "\uffff" else full
+    token = basic if text.isascii() or max(text[s:e], default="") <= "\uffff" else full
     stack: list[tuple[str, int, bool, bool]] = []
     begin, marks = s, 0
     german = "„" in text
