@@ -84,7 +84,7 @@ def superminhash(rows: np.ndarray, items: np.ndarray, n: int, m: int) -> np.ndar
 def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A hash (n, bands) of each band of the signatures."""
     bits = sig.view(np.uint64).reshape(len(sig), bands, rows)
-    out = np.full((len(sig), bands), 0x51ED270B, np.uint64)
+    out = np.tile(_mix(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x51ED270B)), (len(sig), 1))
     for i in range(rows):
         out = _mix(out * np.uint64(31) + bits[:, :, i])
     return out.view(np.int64)
@@ -117,26 +117,34 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> t
     return members, classes.select("class_id", "form", "n_docs")
 
 
-def _signed(classes: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(class_id, band, bucket, size): one row a band."""
+def _signed(classes: DataFrame, bands: int, rows: int, k: int, max_bucket: int) -> DataFrame:
+    """(class_id, bucket, size, crowded): one row a band; the band is part of the bucket's hash.
+
+    ``crowded`` marks the rows of a bucket that has more than ``max_bucket`` of them within this task,
+    so that no hot bucket need be gathered to be found: one without marks has at most ``max_bucket``
+    rows for each task.
+    """
     kind = classes.schema["class_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, sizes = [], [], []
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.slice(at, 1000)
                 cps, offsets, _ = codepoints(part.column(1))
                 r, h = shingle_sets(cps, offsets, k)
-                n = len(part)
-                size = np.bincount(r, minlength=n)
-                key = bands_of(superminhash(r, h, n, bands * rows), bands, rows)
-                take = np.repeat(np.arange(n), bands)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take)), pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(key.ravel()), pa.array(size[take].astype(np.int32))],
-                    names=["class_id", "band", "bucket", "size"],
-                )
+                ids.append(part.column(0))
+                sizes.append(np.bincount(r, minlength=len(part)).astype(np.int32))
+                keys.append(bands_of(superminhash(r, h, len(part), bands * rows), bands, rows))
+        if not ids:
+            return
+        found, count = np.unique(np.concatenate(keys).ravel(), return_counts=True)
+        crowded = found[count > max_bucket]
+        for who, key, size in zip(ids, keys, sizes):
+            take = np.repeat(np.arange(len(who)), bands)
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(take)), pa.array(key.ravel()), pa.array(size[take]), pa.array(np.isin(key.ravel(), crowded))], names=["class_id", "bucket", "size", "crowded"])
 
-    return classes.select("class_id", "form").mapInArrow(run, f"class_id {kind}, band int, bucket long, size int")
+    return classes.select("class_id", "form").mapInArrow(run, f"class_id {kind}, bucket long, size int, crowded boolean")
 
 
 def _shingles(form, k: int):  # noqa: ANN001, ANN202
@@ -150,15 +158,23 @@ def candidate_pairs(classes: DataFrame, threshold: float, bands: int, rows: int,
     Buckets up to ``max_bucket`` members are paired inside; members of larger ones are joined on the
     rarest shingles of their prefixes, which is exact for the threshold.
     """
-    signed = _signed(classes, bands, rows, k).persist(StorageLevel.DISK_ONLY)
-    counts = signed.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = signed.join(counts, ["band", "bucket"])
-    small = shared.where(F.col("n") <= max_bucket).groupBy("band", "bucket").agg(F.sort_array(F.collect_list(F.struct("size", "class_id"))).alias("g"))
+    signed = _signed(classes, bands, rows, k, max_bucket).persist(StorageLevel.DISK_ONLY)
+    crowded = signed.where("crowded").select("bucket").distinct()
+    calm = crowded.isEmpty()
+    # one exchange by bucket serves the count and the lists; what stands alone in its bucket goes no further
+    cold = (signed if calm else signed.join(crowded, "bucket", "left_anti")).select("class_id", "bucket", "size").repartition("bucket")
+    shared = cold.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    small = shared.where(F.col("n") <= max_bucket).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("size", "class_id"))).alias("g"))
     # members come ordered by set size: a partner is at most 1/threshold times as large
     pairs = small.select(F.posexplode("g").alias("i", "x"), "g").select("x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
     pairs = pairs.where(F.expr(f"x.size >= {threshold} * y.size")).select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b"))
-    hot = shared.where(F.col("n") > max_bucket).select("class_id").distinct()
-    return pairs.union(_prefix_pairs(classes.join(hot, "class_id", "left_semi"), threshold, k)).distinct()
+    hot = shared.where(F.col("n") > max_bucket).select("class_id")
+    if not calm:
+        hot = hot.union(signed.join(crowded, "bucket", "left_semi").select("class_id"))
+    hot = hot.distinct()
+    if not hot.isEmpty():
+        pairs = pairs.union(_prefix_pairs(classes.join(hot, "class_id", "left_semi"), threshold, k))
+    return pairs.distinct()
 
 
 def _prefix_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
