@@ -26,10 +26,10 @@ KINDS = ("email", "phone", "id_number", "address", "person_name")
 
 #: Frequent Chinese family names.
 _SURNAMES = (
-    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳"
-    "史唐费廉岑薛雷贺倪汤滕殷罗毕郝安常乐于时傅卞齐康伍余顾孟黄穆萧尹姚邵汪毛狄米戴宋庞熊纪舒屈项祝董梁杜阮蓝席季贾路江童颜郭梅"
-    "林钟徐邱骆高夏蔡田樊胡凌霍虞万柯管卢莫房裘解丁邓洪包左石崔吉龚程邢裴陆荣翁曲家封储靳松井段富焦巴牧谷车侯全班仰仲伊宫宁"
-    "仇甘武符刘景詹束龙叶幸司黎薄印白怀从索赖卓乔阎聂曾文关辛简饶曾沙丰温单"
+    "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏窦章云苏潘葛奚范彭郎鲁韦昌马苗凤方俞任袁柳"
+    "史唐费廉岑薛雷贺倪汤滕殷罗毕郝安傅卞齐康伍余顾孟黄穆萧尹姚邵汪狄米戴宋庞熊纪舒屈项祝董梁杜阮蓝席季贾江童颜郭梅"
+    "林钟徐邱骆高夏蔡田樊胡凌霍虞万柯卢莫裘丁邓洪左石崔吉龚程邢裴陆荣翁曲封储靳松富巴牧谷侯班仰仲伊宫宁"
+    "仇甘武符刘景詹束龙叶司黎薄怀索赖卓乔阎聂曾文关辛简饶曾丰温单"
 )
 _DOUBLE = "欧阳|司徒|上官|诸葛|司马|慕容|尉迟|皇甫|东方|夏侯|令狐|长孙|宇文|端木|南宫|公孙"
 _NAME = rf"(?:(?:{_DOUBLE})[一-鿿]{{1,2}}|[{_SURNAMES}][一-鿿]{{1,2}})"
@@ -84,8 +84,8 @@ def proposals() -> list[Proposal]:
         Proposal("address", c(r"(?i)(?<![A-Za-z0-9_])(?P<m>\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours)\b(?: (?:de|du|des|la|le|les|d['’]|l['’]))* ?[\p{Lu}][\p{L}'’\-]+)"), 0.7),
         Proposal("address", c(r"(?<![A-Za-z0-9_])(?P<m>(?:[Cc]alle|C/|[Cc]\.|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Tt]ravesía)(?: (?:de|del|la|las|los|el))* ?(?:\p{Lu}[\p{L}\-]+(?: (?:de|del|la|las|los))? ?){1,4},? ?(?:n\.?[ºo°]|núm\.)? ?\d{1,4})(?!\d)"), 0.7),
         # names
-        Proposal("person_name", c(rf"(?:联系人[:：]?\s?|我叫|我是|预订人[:：]?\s?|预定人[:：]?\s?|收件人[:：]?\s?|收货人[:：]?\s?|入住人[:：]?\s?|抬头(?:写|是|为|[:：])\s?|写着|打给|找|姓名[:：]?\s?|—+\s?|名字(?:是|叫)|本人|叫做|感谢|谢谢|值班经理|经理|管家|前台|服务员|领班|保安|大堂|客房部|礼宾)(?P<m>{_NAME})(?=$|[,，。.!！;；、（()）\s\d「『“]|给了|确实|真的|特别|帮|很|非常|收|的|在|说|和|先生|女士|小姐|态度|耐心|热情|一直|为|主动|把|送|请)"), 0.62, "cnname"),
-        Proposal("person_name", c(rf"(?:^|[，。！；,.!;\s~…?？）])(?P<m>{_NAME})(?=确实耐心|，?手机|[（(](?:\+|\d|0|幺|一)|\s[\d+(一幺]|[,，]?\s?电话|给了我)"), 0.62, "cnname"),
+        Proposal("person_name", c(rf"(?:联系人[:：]?\s?|我叫|我是|预订人[:：]?\s?|预定人[:：]?\s?|收件人[:：]?\s?|收货人[:：]?\s?|入住人[:：]?\s?|抬头(?:写|是|为|[:：])\s?|写着|打给|姓名[:：]?\s?|—+\s?|名字(?:是|叫)|叫做|感谢|谢谢|(?:值班经理|经理|管家|前台|服务员|领班|保安|大堂|客房部|礼宾部?|行李员|餐厅)的?)(?P<m>{_NAME})(?=$|[,，。.!！;；、（()）\s\d「『“]|给了|不怎么|不太|确实|真的|特别|实在|格外|相当|始终|一直|依旧|整体|明显|出乎意料|比想象中|略显|稍微|还算|多少有点|十分|帮|很|非常|收|的|在|说|和|先生|女士|小姐|态度|耐心|热情|一直|为|主动|把|送|请)"), 0.62, "cnname"),
+        Proposal("person_name", c(rf"(?:^|[，。！；,.!;\s~…?？）])(?P<m>{_NAME})(?=(?:不怎么|不太|真的|确实|实在|特别|格外|相当|始终|一直|依旧|整体|明显|略显|稍微|还算|非常|很)(?:耐心|热情|周到|专业|贴心|细致)|，?手机|[（(](?:\+|\d|0|幺|一)|\s[\d+(一幺]|[,，]?\s?电话|给了我)"), 0.62, "cnname"),
         Proposal("person_name", c(rf"(?:写着|抬头写|联系人[:：]|收件人[:：]?|预订人[:：]?|我叫|打给|经理|[Mm]y name is |[Nn]ame is |[Ii] am |[Ii]['’]m |attention |[Aa]ttn:? |c/o |[Rr]each me [(]|[Aa]sk for |[Tt]hanks to |[Tt]hank you,? |merci à |[Jj]e m['’]appelle |[Mm]e llamo |[Mm]i nombre es |[Gg]racias a |[Aa] nombre de |[Ii]ch hei(?:ß|ss)e |[Mm]ein Name ist |[Dd]ank an |au nom de |[Ss]igned,? |—+\s?|– |(?:^|[.!?\n]) ?- |- )(?P<m>{_LATIN})"), 0.65, "latin"),
         Proposal("person_name", c(rf"(?P<m>{_LATIN})(?= (?:at the desk|from the|at reception|at the front|du bar|de la réception|de recepción|del bar|von der Rezeption|an der Rezeption|vom Empfang|am Empfang|was (?:lovely|kind)|さん|様|氏)|さん|様|氏|先生|女士|确实|给了我|（[+\d(]|\s1\d{{10}})"), 0.65, "latin"),
     ]

@@ -37,6 +37,7 @@ _OPEN, _CLOSE = frozenset(_PAIRS) - {"‘"}, frozenset(_PAIRS.values()) - {"’"
 _CONT = frozenset(",;:，、；：،؛-–—")
 _BLANK = " \t 　    "
 _UNSPACED = re.compile(r"[ぁ-ヿ㐀-䶿一-鿿ก-๛຀-໿က-႟ក-៿]")
+_HAN_KANA = re.compile(r"[ぁ-ヿ㐀-䶿一-鿿]")
 _ITEM = re.compile(r"[ \t　]*(?:[-*•·・●○■□◆◇▪▸►✓✗–]|[(（]?\d{1,3}[.、)）．]|[①-⑳]|#{1,6}\s)[ \t　]*")
 _MEASURED = re.compile(r"(?:\d|[0-9一二三四五六七八九十两百])$")
 _FIGURE = re.compile(r"[0-9A-Za-zÀ-ɏ０-９Ａ-Ｚａ-ｚ.,:+%\-_'’@/&]+$")
@@ -118,7 +119,7 @@ def _suppressed(text: str, dot: int, after: str, german: bool) -> bool:
 
 
 def _breaks_in(text: str, s: int, e: int, out: list[int], is_german: bool) -> int:
-    """Appends the ends (exclusive) of sentences inside one unit of text; returns the number of marks outside quotations."""
+    """Appends the ends (exclusive) of sentences inside one unit of text; returns the number of end marks outside quotations."""
     sterm, full, basic = _marks()
     token = basic if text.isascii() or max(text[s:e], default="") <= "\uffff" else full
     stack: list[tuple[str, int, bool, bool]] = []
@@ -175,7 +176,6 @@ def _breaks_in(text: str, s: int, e: int, out: list[int], is_german: bool) -> in
             else:
                 go = introduced or c.isupper() and b < nxt
             if go:
-                marks += 1
                 out.append(b)
                 begin = pos = nxt
             continue
@@ -246,7 +246,9 @@ def _blank_breaks(text: str, s: int, e: int) -> list[int]:
         before = text[pieces[k - 1][0] : pieces[k - 1][1]] if k else ""
         if _FIGURE.fullmatch(p) or _FIGURE.fullmatch(q):
             continue
-        if q[0] in _OPEN or p[-1] in _CLOSE or p[-1] in "，、,：:" or q[0] in "，、,：:":
+        if (q[0] in _OPEN or p[-1] in _CLOSE) and not (_HAN_KANA.match(p[-1]) or _HAN_KANA.match(q[0])):
+            continue  # scripts that put blanks around quotations
+        if p[-1] in "，、,：:" or q[0] in "，、,：:":
             continue
         if len(q) == 1 or len(p) == 1 and before and _FIGURE.fullmatch(before):
             continue
@@ -280,7 +282,7 @@ def sentence_ends(text: str | None) -> list[int]:
     ends: list[int] = []
     for (s, e), out in zip(units, found):
         if by_blank:
-            out = _blank_breaks(text, s, e)
+            out = sorted({*out, *_blank_breaks(text, s, e)})
         last = e
         while last > s and text[last - 1].isspace():
             last -= 1

@@ -14,6 +14,8 @@ CASES = [
     ["价格349元，接驳车老旧", "　第56次来，咖啡机实在稳定", " King一直偏咸，书桌也一样"],
     ["住的是 SPA 房，送了 21 张 菱杉糖水 券", "　停车场非常拥挤"],
     ["『夜景が最高！』という看板がありました。", "料金は36.5ドル（朝食は別です。）でした。", "「まで行けますか？」と聞くと、遠いと言われた。"],
+    ["ロビーは静かでした", " 『夜景が最高！』という看板がありました", "\n枕は古めでした"],
+    ["小女儿问：“还有多远？”", " 第5次来，花园安静", " “没了！”服务员笑着说", "\n午后睡着"],
     ["ห้องพักสบายครับ", " ราคา 3549 บาทต่อคืนถือว่าคุ้มครับ", " พนักงานบอกว่า “รอสักครู่ กำลังทำ” แล้วก็หายไปค่ะ"],
     ["डॉ. मालवंशी ने 4.3 अंक दिए।", " “कमरा तैयार है? हम थक गए हैं!” एक मेहमान ने पूछा।", " दूरी 2.1 कि.मी. है।"],
     ["Mr. Bell and Dr. J. R. Fox vs. the bar: 3.50 dollars!", " It opens at 6 p.m.", " We left at 7 a.m. on Oct. 5.", " No. 39 is approx. 2.1 km off, i.e. far."],
