@@ -15,16 +15,17 @@ def strip_blanks(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s+", "")
 
 
-def _runs_to_tokens(runs: Column) -> Column:
-    pair = lambda r: F.when(r.rlike("^[a-z]") | (F.length(r) == 1), F.array(r)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    )
-    return F.flatten(F.transform(runs, pair))
-
-
 def mixed_tokens(c: Column) -> Column:
-    """Latin words in lower case, and overlapping pairs of each Han run; other characters separate."""
-    return _runs_to_tokens(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+|[\\u4e00-\\u9fff]+"), F.lit(0)))
+    """Latin words in lower case, and overlapping pairs of each Han run (a lone Han character is itself a token).
+
+    Three compiled extractions instead of an interpreted lambda a run: a look-ahead yields the pairs.
+    The tokens are a bag; words come before pairs.
+    """
+    t, han = F.lower(F.coalesce(c, F.lit(""))), "\\u4e00-\\u9fff"
+    words = F.regexp_extract_all(t, F.lit("[a-z]+"), F.lit(0))
+    pairs = F.regexp_extract_all(t, F.lit(f"(?=([{han}]{{2}}))"), F.lit(1))
+    alone = F.regexp_extract_all(t, F.lit(f"(?<![{han}])([{han}])(?![{han}])"), F.lit(1))
+    return F.concat(words, pairs, alone)
 
 
 def cjk_tokens(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import bm25_term, idf
@@ -12,12 +12,32 @@ from ..functions.text import Tokenizer, mixed_tokens
 from ..sources.tables import exists, open_store
 
 
-def tokens_of(df: DataFrame, key: list[str], text: str, stop_words: DataFrame | None = None, tokenizer: Tokenizer = mixed_tokens) -> DataFrame:
+MOST_STOP_WORDS = 20_000  #: a longer list is joined instead of being put into the expression
+
+
+def short_list(stop_words: DataFrame | list[str] | None) -> list[str] | DataFrame:
+    """Stop words as a list, read once, if they are few enough for an expression; else as they are."""
+    if stop_words is None or isinstance(stop_words, list):
+        return stop_words or []
+    words = [r[0] for r in stop_words.select(F.lower("word")).distinct().limit(MOST_STOP_WORDS + 1).collect()]
+    return words if len(words) <= MOST_STOP_WORDS else stop_words
+
+
+def kept_tokens(text: str, stop_words: DataFrame | list[str] | None, tokenizer: Tokenizer) -> Column | None:
+    """The tokens of a text without stop words as one array expression; None if the list is too long for one."""
+    tokens, words = tokenizer(F.col(text)), short_list(stop_words)
+    if not isinstance(words, list):
+        return None
+    return F.filter(tokens, lambda t: ~t.isin(words)) if words else tokens
+
+
+def tokens_of(df: DataFrame, key: list[str], text: str, stop_words: DataFrame | list[str] | None = None, tokenizer: Tokenizer = mixed_tokens) -> DataFrame:
     """(key…, term): one row a token occurrence, stop words dropped."""
+    kept = kept_tokens(text, stop_words, tokenizer)
+    if kept is not None:
+        return df.select(*key, F.explode(kept).alias("term"))
     out = df.select(*key, F.explode(tokenizer(F.col(text))).alias("term"))
-    if stop_words is not None:
-        out = out.join(stop_words.select(F.lower("word").alias("term")).distinct(), "term", "left_anti").select(*key, "term")
-    return out
+    return out.join(stop_words.select(F.lower("word").alias("term")).distinct(), "term", "left_anti").select(*key, "term")
 
 
 @dataclass
@@ -28,7 +48,7 @@ class Bm25Index:
     lengths: DataFrame
     stats: DataFrame
     tokenizer: Tokenizer = mixed_tokens
-    stop_words: DataFrame | None = None
+    stop_words: DataFrame | list[str] | None = None
     k1: float = 1.5
     b: float = 0.75
 
@@ -36,10 +56,15 @@ class Bm25Index:
     def build(cls, docs: DataFrame, doc_id: str, text: str, stop_words: DataFrame | None = None, tokenizer: Tokenizer = mixed_tokens, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
         """Index of one row a document; documents without tokens count in ``n`` and ``avgdl``."""
         docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        stop_words = short_list(stop_words)
         # all tokens of a document are in one task: the partial count leaves only postings to shuffle
         postings = tokens_of(docs, ["doc_id"], "text", stop_words, tokenizer).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        dl = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        lengths = docs.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+        kept = kept_tokens("text", stop_words, tokenizer)
+        if kept is not None:  # lengths come straight from the rows
+            lengths = docs.select("doc_id", F.size(kept).cast("long").alias("dl"))
+        else:
+            dl = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+            lengths = docs.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
         return cls(postings, lengths, cls.figures(lengths), tokenizer, stop_words, k1, b)
 
     @staticmethod
@@ -73,14 +98,16 @@ class Bm25Index:
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.stats.withColumn("k1", F.lit(self.k1)).withColumn("b", F.lit(self.b)).write.mode("overwrite").parquet(f"{path}/stats")
-        if self.stop_words is not None:
-            self.stop_words.select("word").write.mode("overwrite").parquet(f"{path}/stop_words")
+        if self.stop_words:
+            words = self.stop_words
+            words = self.stats.sparkSession.createDataFrame([(w,) for w in words], "word string") if isinstance(words, list) else words
+            words.select("word").write.mode("overwrite").parquet(f"{path}/stop_words")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = mixed_tokens) -> Bm25Index:
         stats = open_store(spark, f"{path}/stats")
         params = stats.first()
-        stop = spark.read.parquet(f"{path}/stop_words") if exists(spark, f"{path}/stop_words") else None
+        stop = short_list(spark.read.parquet(f"{path}/stop_words")) if exists(spark, f"{path}/stop_words") else None
         return cls(open_store(spark, f"{path}/postings"), open_store(spark, f"{path}/lengths"), stats.select("n", "avgdl"), tokenizer, stop, params["k1"], params["b"])
 
     @classmethod

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, name: str = "staylens") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -21,6 +23,8 @@ def local_session(cpus: int = 8, name: str = "staylens") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -34,3 +38,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="staylens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, once an application.
+
+    The archive lies in the shared folder of ``spark.checkpoint.dir`` where that is a mounted path;
+    else the driver serves it to every executor, those that come later included.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(shared) / sc.applicationId if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="staylens-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / "staylens.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
