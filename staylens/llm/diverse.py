@@ -105,13 +105,22 @@ def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame,
     the subset.  Null, empty and ``nan`` texts are never drawn; a request of size null or <= 0 has no
     rows; repeated category rows count once.
     """
-    spark = texts.sparkSession
     one = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(real_text(F.col("t")) & F.col("doc_id").isNotNull())
     one = with_normal_form(one.groupBy("doc_id").agg(F.min("t").alias("t")), "t", "f")
     docs = checkpointed(one.select("doc_id", "f", F.xxhash64("f").alias("k1"), F.xxhash64("f", F.lit(seed)).alias("k2")))
     distinct = docs.groupBy("k1", "k2").agg(F.min("f").alias("f"))
-    drawn = distinct.orderBy("k2", "k1").limit(sample).select("f").toPandas()["f"]
-    centres = minibatch_kmeans(features(pa.array(drawn, pa.string())), clusters, seed=seed) if len(drawn) else np.zeros((1, DIM))
+    # the sample is found by its keys and turned into vectors where its texts lie: only bounded vectors reach the driver
+    chosen = distinct.select("k1", "k2").orderBy("k2", "k1").limit(sample)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = features(b.column(2)).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32)), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["k1", "k2", "v"])
+
+    drawn = distinct.join(chosen, ["k1", "k2"], "left_semi").mapInArrow(vectors, "k1 long, k2 long, v array<float>").toArrow().sort_by([("k2", "ascending"), ("k1", "ascending")])
+    points = np.asarray(drawn["v"].combine_chunks().flatten(), np.float64).reshape(-1, DIM) if drawn.num_rows else np.zeros((0, DIM))
+    centres = minibatch_kmeans(points, clusters, seed=seed) if len(points) else np.zeros((1, DIM))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -45,6 +45,7 @@ class Proposal:
     pattern: re.Pattern
     base: float
     check: str = ""
+    need: str = ""  #: a text without any of these characters cannot match ("0": any digit)
 
 
 _AT = r"(?:\s?@\s?|\s?[(\[{<]\s?at\s?[)\]}>]\s?|艾特|\s+at\s+|#at#)"
@@ -61,28 +62,28 @@ def proposals() -> list[Proposal]:
     c = lambda p: re.compile(p)
     han = r"[一-鿿]"
     return [
-        Proposal("email", c(rf"(?i)(?<![A-Za-z0-9._%+\-])(?P<m>{_LOCAL}{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])"), 0.7, "email"),
+        Proposal("email", c(rf"(?i)(?<![A-Za-z0-9._%+\-])(?P<m>{_LOCAL}{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])"), 0.7, "email", "@艾aA"),
         # telephone numbers
-        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>(?:(?:[(]?(?:\+|00)\s?86[)]?)[\- ]?)?1[3-9]\d(?:[\-. ]?\d){8})(?![\-.]?[\dA-Za-z])"), 0.65, "phone"),
-        Proposal("phone", c(r"(?<![A-Za-z0-9_+])(?P<m>[(]?(?:\+|(?<!\d)00)[1-9]\d{0,2}[)]?(?:[ \-.]?[(]?\d{1,9}[)]?){1,6})(?![\-.]?[\dA-Za-z])"), 0.65, "phone"),
-        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>[(]0\d{2,4}[)][ \-]?\d{3,8}(?:[ \-]\d{2,4}){0,3}|0\d{1,4}(?:[ \-.]\d{2,8}){1,5})(?![\-.]?[\dA-Za-z])"), 0.65, "phone"),
-        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>0\d{9,11})(?![\-.]?[\dA-Za-z])"), 0.4, "phone"),
-        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>(?:1[\-. ])?[(]?[2-9]\d{2}[)]?[\-. ]\d{3}[\-. ]\d{4})(?![\-.]?[\dA-Za-z])"), 0.65, "phone"),
-        Proposal("phone", c(rf"(?<![{_NUM}十百千万])(?P<m>[一幺][{_NUM}](?:[ \-]?[{_NUM}]){{9}})(?![{_NUM}十百千万])"), 0.7),
+        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>(?:(?:[(]?(?:\+|00)\s?86[)]?)[\- ]?)?1[3-9]\d(?:[\-. ]?\d){8})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "0"),
+        Proposal("phone", c(r"(?<![A-Za-z0-9_+])(?P<m>[(]?(?:\+|(?<!\d)00)[1-9]\d{0,2}[)]?(?:[ \-.]?[(]?\d{1,9}[)]?){1,6})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "0"),
+        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>[(]0\d{2,4}[)][ \-]?\d{3,8}(?:[ \-]\d{2,4}){0,3}|0\d{1,4}(?:[ \-.]\d{2,8}){1,5})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "0"),
+        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>0\d{9,11})(?![\-.]?[\dA-Za-z])"), 0.4, "phone", "0"),
+        Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>(?:1[\-. ])?[(]?[2-9]\d{2}[)]?[\-. ]\d{3}[\-. ]\d{4})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "0"),
+        Proposal("phone", c(rf"(?<![{_NUM}十百千万])(?P<m>[一幺][{_NUM}](?:[ \-]?[{_NUM}]){{9}})(?![{_NUM}十百千万])"), 0.7, need="一幺"),
         # identity card and passport numbers
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_])(?<!\d[.\-])(?P<m>\d{6}[ \-]?\d{8}[ \-]?\d{3}[\dXx])(?![\-.]?\d|[A-Za-z])"), 0.2, "cn18"),
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_])(?P<m>[A-Z]{1,2}\d{6}\s?[(][\dA][)])"), 0.65),
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>\d{8}[\- ]?[A-Z])(?![A-Za-z0-9_])"), 0.3, "dni"),
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>[XYZ]\d{7}[\- ]?[A-Z])(?![A-Za-z0-9_])"), 0.3, "dni"),
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>[A-Z]{1,2}\d{7,9}|[A-Z]\d[A-Z0-9]{7}|[A-Z]{1,2} \d{7,8})(?![A-Za-z0-9_\-])"), 0.35),
-        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-.])(?P<m>\d{9})(?![\w\-.]\d|[A-Za-z0-9_])"), 0.2),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_])(?<!\d[.\-])(?P<m>\d{6}[ \-]?\d{8}[ \-]?\d{3}[\dXx])(?![\-.]?\d|[A-Za-z])"), 0.2, "cn18", "0"),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_])(?P<m>[A-Z]{1,2}\d{6}\s?[(][\dA][)])"), 0.65, need="0"),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>\d{8}[\- ]?[A-Z])(?![A-Za-z0-9_])"), 0.3, "dni", "0"),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>[XYZ]\d{7}[\- ]?[A-Z])(?![A-Za-z0-9_])"), 0.3, "dni", "0"),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-])(?P<m>[A-Z]{1,2}\d{7,9}|[A-Z]\d[A-Z0-9]{7}|[A-Z]{1,2} \d{7,8})(?![A-Za-z0-9_\-])"), 0.35, need="0"),
+        Proposal("id_number", c(r"(?<![A-Za-z0-9_\-.])(?P<m>\d{9})(?![\w\-.]\d|[A-Za-z0-9_])"), 0.2, need="0"),
         # addresses
-        Proposal("address", c(rf"(?P<m>(?:{han}{{1,6}}?[省州])?(?:{han}{{1,6}}?市)?(?:{han}{{1,6}}?[区县镇乡])?{han}{{1,8}}?(?:大道|大街|胡同|路|街|巷|弄|里|道)(?:{_CNUM}弄)?{_CNUM}号(?!线|楼层|涨价|房)(?:之{_CNUM})?(?:{han}{{2,6}}(?:花园|小区|公寓|大厦|苑|广场|里))?(?:[A-Za-z]座)?(?:{_CNUM}(?:栋|幢|座|号楼))?(?:{_CNUM}单元)?(?:\d+室?)?)"), 0.7, "cnaddr"),
-        Proposal("address", c(r"(?P<m>(?:〒?\d{3}-\d{4}\s?)?(?:[一-鿿]{1,4}[都道府県])?(?:[一-鿿ぁ-んァ-ヶー]{1,6}[市区町村郡])*[一-鿿ぁ-んァ-ヶー]{1,8}?\d{1,3}(?:丁目\d{1,3}(?:番地?|-)\d{0,3}号?|番地))"), 0.65, "cnaddr"),
-        Proposal("address", c(rf"(?<![A-Za-z0-9_#.]|\d )(?P<m>\d{{1,5}}[a-zA-Z]?,? (?:\p{{Lu}}[\p{{L}}'’\-]+ ){{1,3}}(?:{_STREET})\b(?:\.?,? ?(?:Apt\.?|Flat|Unit|Suite|#) ?\w+)?)"), 0.7),
-        Proposal("address", c(r"(?<![A-Za-z0-9_\-])(?P<m>(?:\p{Lu}[\p{L}\-]*(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|damm|ufer|chaussee|steig)|(?:\p{Lu}[\p{L}\-]+ )(?:Stra(?:ß|ss)e|Weg|Allee|Gasse|Platz|Ring|Damm)) \d{1,4} ?[a-z]?(?![A-Za-z0-9_]))"), 0.7),
-        Proposal("address", c(r"(?i)(?<![A-Za-z0-9_])(?P<m>\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours)\b(?: (?:de|du|des|la|le|les|d['’]|l['’]))* ?[\p{Lu}][\p{L}'’\-]+)"), 0.7),
-        Proposal("address", c(r"(?<![A-Za-z0-9_])(?P<m>(?:[Cc]alle|C/|[Cc]\.|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Tt]ravesía)(?: (?:de|del|la|las|los|el))* ?(?:\p{Lu}[\p{L}\-]+(?: (?:de|del|la|las|los))? ?){1,4},? ?(?:n\.?[ºo°]|núm\.)? ?\d{1,4})(?!\d)"), 0.7),
+        Proposal("address", c(rf"(?P<m>(?:{han}{{1,6}}?[省州])?(?:{han}{{1,6}}?市)?(?:{han}{{1,6}}?[区县镇乡])?{han}{{1,8}}?(?:大道|大街|胡同|路|街|巷|弄|里|道)(?:{_CNUM}弄)?{_CNUM}号(?!线|楼层|涨价|房)(?:之{_CNUM})?(?:{han}{{2,6}}(?:花园|小区|公寓|大厦|苑|广场|里))?(?:[A-Za-z]座)?(?:{_CNUM}(?:栋|幢|座|号楼))?(?:{_CNUM}单元)?(?:\d+室?)?)"), 0.7, "cnaddr", "号"),
+        Proposal("address", c(r"(?P<m>(?:〒?\d{3}-\d{4}\s?)?(?:[一-鿿]{1,4}[都道府県])?(?:[一-鿿ぁ-んァ-ヶー]{1,6}[市区町村郡])*[一-鿿ぁ-んァ-ヶー]{1,8}?\d{1,3}(?:丁目\d{1,3}(?:番地?|-)\d{0,3}号?|番地))"), 0.65, "cnaddr", "0"),
+        Proposal("address", c(rf"(?<![A-Za-z0-9_#.]|\d )(?P<m>\d{{1,5}}[a-zA-Z]?,? (?:\p{{Lu}}[\p{{L}}'’\-]+ ){{1,3}}(?:{_STREET})\b(?:\.?,? ?(?:Apt\.?|Flat|Unit|Suite|#) ?\w+)?)"), 0.7, need="0"),
+        Proposal("address", c(r"(?<![A-Za-z0-9_\-])(?P<m>(?:\p{Lu}[\p{L}\-]*(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|damm|ufer|chaussee|steig)|(?:\p{Lu}[\p{L}\-]+ )(?:Stra(?:ß|ss)e|Weg|Allee|Gasse|Platz|Ring|Damm)) \d{1,4} ?[a-z]?(?![A-Za-z0-9_]))"), 0.7, need="0"),
+        Proposal("address", c(r"(?i)(?<![A-Za-z0-9_])(?P<m>\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours)\b(?: (?:de|du|des|la|le|les|d['’]|l['’]))* ?[\p{Lu}][\p{L}'’\-]+)"), 0.7, need="0"),
+        Proposal("address", c(r"(?<![A-Za-z0-9_])(?P<m>(?:[Cc]alle|C/|[Cc]\.|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Tt]ravesía)(?: (?:de|del|la|las|los|el))* ?(?:\p{Lu}[\p{L}\-]+(?: (?:de|del|la|las|los))? ?){1,4},? ?(?:n\.?[ºo°]|núm\.)? ?\d{1,4})(?!\d)"), 0.7, need="0"),
         # names
         Proposal("person_name", c(rf"(?:联系人[:：]?\s?|我叫|我是|预订人[:：]?\s?|预定人[:：]?\s?|收件人[:：]?\s?|收货人[:：]?\s?|入住人[:：]?\s?|抬头(?:写|是|为|[:：])\s?|写着|打给|姓名[:：]?\s?|—+\s?|名字(?:是|叫)|叫做|感谢|谢谢|(?:值班经理|经理|管家|前台|服务员|领班|保安|大堂|客房部|礼宾部?|行李员|餐厅)的?)(?P<m>{_NAME})(?=$|[,，。.!！;；、（()）\s\d「『“]|给了|不怎么|不太|确实|真的|特别|实在|格外|相当|始终|一直|依旧|整体|明显|出乎意料|比想象中|略显|稍微|还算|多少有点|十分|帮|很|非常|收|的|在|说|和|先生|女士|小姐|态度|耐心|热情|一直|为|主动|把|送|请)"), 0.62, "cnname"),
         Proposal("person_name", c(rf"(?:^|[，。！；,.!;\s~…?？）])(?P<m>{_NAME})(?=(?:不怎么|不太|真的|确实|实在|特别|格外|相当|始终|一直|依旧|整体|明显|略显|稍微|还算|非常|很)(?:耐心|热情|周到|专业|贴心|细致)|，?手机|[（(](?:\+|\d|0|幺|一)|\s[\d+(一幺]|[,，]?\s?电话|给了我)"), 0.62, "cnname"),
@@ -212,6 +213,7 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     return folded, [i for i, ch in enumerate(text) if t.get(ord(ch), 0) is not None]
 
 
+_DIGIT = re.compile(r"\d")
 _MAYBE = re.compile(rf"[@\d{_NUM}]{{2}}|@|艾特|\bat\b|\d|{_NAME}|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}")
 
 
@@ -223,7 +225,10 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
     if not _MAYBE.search(folded):
         return []
     found = []
+    digit = _DIGIT.search(folded) is not None
     for p in proposals():
+        if p.need and not (digit if p.need == "0" else any(ch in folded for ch in p.need)):
+            continue
         for m in p.pattern.finditer(folded, overlapped=p.kind == "person_name"):
             change, a, b = _checked(p.check, folded, m)
             if change <= -1:

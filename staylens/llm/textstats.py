@@ -7,8 +7,6 @@ natively; no Python runs over the data except for the consistent form (``normali
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,17 +89,17 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return inner.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(helpers)], *[F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()])
 
 
-@lru_cache(4)
-def _rules(app: str, sample: int, seed: int) -> tuple[Rule, ...]:
-    spark = SparkSession.getActiveSession()
-    rows = labelled.documents(sample, seed)
-    data = with_statistics(spark.createDataFrame(rows, "label string, text string").coalesce(4), "text").toPandas()
-    return tuple(induce(data[list(STATISTICS)].to_numpy(float), data["label"].to_numpy(), list(STATISTICS), default="prose", seed=seed))
+_LEARNED: dict[tuple[str, int, int], tuple[Rule, ...]] = {}
 
 
 def learned_rules(spark: SparkSession, sample: int = 4000, seed: int = 11) -> tuple[Rule, ...]:
-    """The induced rule list.  ``sample`` bounds the labelled documents it is fitted on; cached per application."""
-    return _rules(spark.sparkContext.applicationId, sample, seed)
+    """The induced rule list.  ``sample`` bounds the labelled documents it is fitted on; kept for each application."""
+    key = (spark.sparkContext.applicationId, sample, seed)
+    if key not in _LEARNED:
+        rows = labelled.documents(sample, seed)
+        data = with_statistics(spark.createDataFrame(rows, "label string, text string").coalesce(4), "text").toPandas()
+        _LEARNED[key] = tuple(induce(data[list(STATISTICS)].to_numpy(float), data["label"].to_numpy(), list(STATISTICS), default="prose", seed=seed))
+    return _LEARNED[key]
 
 
 def text_kind(spark: SparkSession, sample: int = 4000, seed: int = 11) -> Column:
