@@ -23,12 +23,12 @@ _CJK_COMMON = (
 _LATIN_COMMON = (
     "the|a|an|and|or|but|of|to|in|on|at|for|with|from|by|is|are|was|were|be|been|it|its|we|our|you|your|they|their|i|my|me|he|she|this|that|not|no|so|as|if|when|had|have|has|do|did|very|just|than|then|there|"
     "der|die|das|und|oder|aber|ein|eine|ist|war|waren|im|am|an|auf|mit|von|zu|für|nicht|wir|sie|es|auch|sehr|nur|nach|den|dem|el|la|los|las|un|una|y|o|pero|de|del|en|con|por|para|era|nos|muy|que|se|lo|su|más|"
-    "le|les|une|des|et|ou|mais|du|au|dans|avec|pour|est|était|pas|nous|vous|ils|on|très|qui|à|aussi|puis"
+    "le|les|une|des|et|ou|mais|du|au|dans|avec|pour|est|était|pas|nous|vous|ils|on|très|qui|à|aussi|puis|entre|tout|aus|sind|bei|hat|haben|wird|einer|también"
 )
 _EMOJI = r"[\x{2190}-\x{21FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{FE0F}\x{1F000}-\x{1FAFF}]"
 _END = r"[.!?…。！？｡।ฯ~～][\"'”’」』）)\]»]*$"
 _ITEM = r"^\s*(?:[-*•·・●○■□◆◇▪▸►✓✗✔✘☑☐√×]|[(（]?[0-9]{1,3}[.、)）:：]|[①-⑳]|[a-zA-Z][.)])\s*\S"
-_MOJI = r"\x{FFFD}|[\x{C2}-\x{F4}][\x{80}-\x{BF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[\x{80}-\x{9F}]|(?<=[\x{C2}-\x{F4}])[\x{C2}-\x{F4}]|[¤¥¦§¨©ª«¬®¯±²³´µ¶·¸¹º»¼½¾](?=[\x{A0}-\x{FF}\x{FFFD}])"
+_MOJI = r"\x{FFFD}|[\x{C2}-\x{F4}][\x{80}-\x{9F}\x{A1}-\x{AC}\x{AE}-\x{BF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[\x{80}-\x{9F}]|(?<=[\x{C2}-\x{F4}])[\x{C2}-\x{F4}]|[¤¥¦§¨©ª«¬®¯±²³´µ¶·¸¹º»¼½¾](?=[\x{A0}-\x{FF}\x{FFFD}])"
 _KV = r"^[^，。！？!?;；]{1,40}(?:[：:=＝\t|]|\s{2,}|->|→)\s*[^，。！？!?;；]{1,24}$"
 _CSV = r"^[^,，。！？!?]{1,30}(?:,[^,，。！？!?]{1,16}){2,}$"
 
@@ -89,22 +89,34 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return inner.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(helpers)], *[F.expr(sql).cast("double").alias(name) for name, sql in STATISTICS.items()])
 
 
-_LEARNED: dict[tuple[str, int, int], tuple[Rule, ...]] = {}
+_LEARNED: dict[tuple[str, int, int, int], tuple[tuple[Rule, ...], ...]] = {}
 
 
-def learned_rules(spark: SparkSession, sample: int = 4000, seed: int = 11) -> tuple[Rule, ...]:
-    """The induced rule list.  ``sample`` bounds the labelled documents it is fitted on; kept for each application."""
-    key = (spark.sparkContext.applicationId, sample, seed)
+def learned_rules(spark: SparkSession, sample: int = 12_000, lists: int = 9, seed: int = 11) -> tuple[tuple[Rule, ...], ...]:
+    """Induced rule lists, one for each of ``lists`` splits into growing and pruning rows.
+
+    ``sample`` bounds the labelled documents they are fitted on; kept for each application.  One list
+    depends much on its split, a vote of several does not.
+    """
+    key = (spark.sparkContext.applicationId, sample, lists, seed)
     if key not in _LEARNED:
         rows = labelled.documents(sample, seed)
-        data = with_statistics(spark.createDataFrame(rows, "label string, text string").coalesce(4), "text").toPandas()
-        _LEARNED[key] = tuple(induce(data[list(STATISTICS)].to_numpy(float), data["label"].to_numpy(), list(STATISTICS), default="prose", seed=seed))
+        data = with_statistics(spark.createDataFrame(rows, "label string, text string").repartition(4), "text").orderBy("text").toPandas()
+        x, y = data[list(STATISTICS)].to_numpy(float), data["label"].to_numpy()
+        _LEARNED[key] = tuple(tuple(induce(x, y, list(STATISTICS), default="prose", seed=seed + i)) for i in range(lists))
     return _LEARNED[key]
 
 
-def text_kind(spark: SparkSession, sample: int = 4000, seed: int = 11) -> Column:
-    """CASE expression over the statistics: ``list``, ``table``, ``junk`` or ``prose``."""
-    return F.expr(to_case(learned_rules(spark, sample, seed), "prose"))
+def text_kind(spark: SparkSession, sample: int = 12_000, lists: int = 9, seed: int = 11) -> Column:
+    """``list``, ``table``, ``junk`` or ``prose`` as a SQL expression over the statistics.
+
+    Every rule list is a CASE; a text is not prose if most of them say so, and its kind is that of the
+    first that does.
+    """
+    cases = [to_case(r, "prose") for r in learned_rules(spark, sample, lists, seed)]
+    votes = " + ".join(f"int(({c}) <> 'prose')" for c in cases)
+    first = ", ".join(f"nullif({c}, 'prose')" for c in cases)
+    return F.expr(f"case when {votes} > {len(cases) // 2} then coalesce({first}) else 'prose' end")
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "comment") -> DataFrame:
