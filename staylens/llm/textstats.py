@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from . import labelled
 from .normalize import real_text, with_normal_form
 from .rules import Rule, induce, to_case
@@ -122,6 +123,7 @@ def text_kind(spark: SparkSession, sample: int = 12_000, lists: int = 9, seed: i
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "comment") -> DataFrame:
     """(doc_id, statistics…, kind), every id once.  Null, empty and ``nan`` texts have kind null."""
     one = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.min(text_col).alias("text"))
-    stats = with_statistics(one, "text")
-    kind = text_kind(df.sparkSession)
-    return stats.withColumn("kind", F.when(real_text(F.col("text")), kind)).drop("text")
+    one = one.withColumn("_real", real_text(F.col("text")))
+    # a cut: else a filter on the kind is pushed below the statistics, which are then computed once for every rule
+    stats = checkpointed(with_statistics(one, "text").drop("text"))
+    return stats.withColumn("kind", F.when(F.col("_real"), text_kind(df.sparkSession))).drop("_real")
