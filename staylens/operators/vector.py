@@ -44,6 +44,18 @@ def _blocks(queries: DataFrame, filters: list[str]) -> Iterator[tuple[list, np.n
         yield [r["query_id"] for r in block], np.array([r["embedding"] for r in block], float), [[r[f] for f in filters] for r in block]
 
 
+def _trim(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The best ``k`` (scores, keys) of the parts as one part; ties go to the smaller key."""
+    s, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    if len(s) <= k:
+        return [(s, who)]
+    edge = np.partition(s, len(s) - k)[len(s) - k]
+    sure, tie = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
+    tie = tie[np.argsort(who[tie], kind="stable")][: k - len(sure)]
+    keep = np.concatenate([sure, tie])
+    return [(s[keep], who[keep])]
+
+
 def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, filters: dict[str, str] | None = None, digits: int = 6, unit: bool = False) -> DataFrame:
     """(query_id, key, score, rank): for each query the ``k`` nearest rows of the collection.
 
@@ -64,16 +76,6 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
         def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, wanted=wanted, scale=scale) -> Iterator[pa.RecordBatch]:
             best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
 
-            def trim(parts: list) -> list:
-                s, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                if len(s) <= k:
-                    return [(s, who)]
-                edge = np.partition(s, len(s) - k)[len(s) - k]
-                sure, tie = np.flatnonzero(s > edge), np.flatnonzero(s == edge)
-                tie = tie[np.argsort(who[tie], kind="stable")][: k - len(sure)]
-                keep = np.concatenate([sure, tie])
-                return [(s[keep], who[keep])]
-
             for b in batches:
                 rows, x = matrix(b.column(1))
                 if not len(rows):
@@ -90,7 +92,7 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
                         if value:
                             ok &= f == value
                     if ok.any():
-                        best[j] = trim([*best[j], (scores[ok, j], keys[ok])])
+                        best[j] = _trim([*best[j], (scores[ok, j], keys[ok])], k)
             got = [(i, *p) for i, parts in zip(ids, best) for p in parts]
             if got:
                 n = [len(s) for _, s, _ in got]
@@ -114,6 +116,7 @@ class IvfIndex:
     rows: DataFrame
     centres: np.ndarray
     key: str
+    sample: np.ndarray  #: the unit vectors the centres are fitted on
 
     @classmethod
     def build(cls, collection: DataFrame, key: str, cells: int = 32, sample: int = 20_000, rounds: int = 8, seed: int = 3) -> IvfIndex:
@@ -136,33 +139,59 @@ class IvfIndex:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array((y @ c.T).argmax(1).astype(np.int32))], names=[key, "embedding", "cell"])
 
         placed = collection.select(key, F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(assign, f"{key} {kind}, embedding array<float>, cell int")
-        return cls(checkpointed(placed), c, key)
-
-    def search(self, queries: DataFrame, k: int, probes: int = 8, digits: int = 6) -> DataFrame:
-        """As ``cosine_topk`` over the ``probes`` nearest cells of each query; a hot cell stays spread over tasks."""
+        return cls(checkpointed(placed), c, key, x)
+
+    def probes_for(self, q: np.ndarray, k: int, recall: float) -> int:
+        """The fewest probes that find ``recall`` of the true ``k`` nearest rows of the sample for the unit queries ``q``.
+
+        In a sample of a larger collection the ``k`` nearest reach farther out than in all rows, so the
+        figure errs to more probes.
+        """
+        x, c = self.sample, self.centres
+        if not len(x) or not len(q):
+            return len(c)
+        cell, depth, met = (x @ c.T).argmax(1), min(k, len(x)), np.zeros(len(c), np.int64)
+        for one in q:
+            place = np.argsort(np.argsort(-(c @ one)))
+            met += np.bincount(place[cell[np.argpartition(-(x @ one), depth - 1)[:depth]]], minlength=len(c))
+        return int(np.searchsorted(np.cumsum(met), recall * met.sum()) + 1)
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, digits: int = 6, recall: float = 0.95) -> DataFrame:
+        """As ``cosine_topk`` over the ``probes`` nearest cells of each query; a hot cell stays spread over tasks.
+
+        Where ``probes`` is not given, each block of queries takes as many as measure ``recall`` on the sample.
+        """
         key, c = self.key, self.centres
         kind, qkind = self.rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-        arrow_query = to_arrow_type(queries.schema["query_id"].dataType)
+        arrow_key, arrow_query = to_arrow_type(self.rows.schema[key].dataType), to_arrow_type(queries.schema["query_id"].dataType)
         out = None
         for ids, q, _ in _blocks(queries, []):
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            order = np.argsort(-(q @ c.T), axis=1)[:, :probes] if len(c) else np.zeros((len(q), 0), int)
+            many = self.probes_for(q, k, recall) if probes is None else probes
+            order = np.argsort(-(q @ c.T), axis=1)[:, :many] if len(c) else np.zeros((len(q), 0), int)
             asked = np.zeros((len(c), len(q)), bool)
             asked[order, np.arange(len(q))[:, None]] = True
 
             def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, asked=asked) -> Iterator[pa.RecordBatch]:
+                best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
                 for b in batches:
                     rows, x = matrix(b.column(1))
                     if not len(rows):
                         continue
                     cell = np.asarray(b.column(2))[rows]
                     scores = np.round(x @ q.T / np.linalg.norm(x, axis=1, keepdims=True), digits)
-                    scores[~asked[cell]] = -np.inf
-                    top = np.argpartition(-scores, min(k, len(rows)) - 1, axis=0)[:k] if len(rows) > k else np.tile(np.arange(len(rows))[:, None], (1, len(ids)))
-                    s = np.take_along_axis(scores, top, 0)
-                    ok = np.isfinite(s)
-                    j = np.broadcast_to(np.arange(len(ids)), s.shape)[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in j], arrow_query), b.column(0).take(pa.array(rows[top[ok]])), pa.array(s[ok])], names=["query_id", key, "score"])
+                    keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False))[rows]
+                    for j in range(len(ids)):
+                        ok = asked[cell, j]
+                        if ok.any():
+                            best[j] = _trim([*best[j], (scores[ok, j], keys[ok])], k)
+                got = [(i, *p) for i, parts in zip(ids, best) for p in parts]
+                if got:
+                    n = [len(s) for _, s, _ in got]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat([i for i, _, _ in got], n).tolist(), arrow_query), pa.array(np.concatenate([w for _, _, w in got]).tolist(), arrow_key), pa.array(np.concatenate([s for _, s, _ in got]))],
+                        names=["query_id", key, "score"],
+                    )
 
             part = self.rows.select(key, "embedding", "cell").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double")
             out = part if out is None else out.union(part)

@@ -1,6 +1,7 @@
 """Hand-computed cases of the retrieval and ranking operators."""
 
 import math
+import os
 from datetime import date, timedelta
 
 import numpy as np
@@ -9,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from staylens import queries
 from staylens.functions import text as T
 from staylens.operators import context as X
 from staylens.operators import fusion, ranking
@@ -18,6 +20,7 @@ from staylens.schema import SearchConfig
 from staylens.sources.tables import one_per_key, typed
 
 CFG = SearchConfig()
+SF = "/root/testdata/sf0.1"
 LISTS = "query_id int, query_idx int, source string, hit_rank int, doc_id string, score double"
 
 
@@ -164,6 +167,12 @@ def test_ivf_recall(spark):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_ivf_recall_on_the_tables(spark):
+    exact, found = ({(r["query_id"], r["doc_id"]) for r in queries.queries()[name](spark, SF).collect()} for name in ("cosine_topk", "ivf_topk"))
+    assert len(found & exact) / len(exact) >= 0.9
+
+
 def test_context_and_summaries(spark):
     s = spark.createDataFrame([(1, 0, 2, "p", "s1", 3), (1, 1, 1, "p", "s1", 3), (1, 0, 1, "q", "s2", 4)], "query_id int, query_idx int, rank int, category string, summary string, comment_count int")
     first = X.first_summaries(s)
