@@ -1,6 +1,6 @@
 """Problem 5: subsets that show the variety of the texts.
 
-Equal texts count once.  Hashed character features are clustered by mini-batch k-means; each request
+Equal texts count once.  Hashed character features of all texts are clustered by distributed k-means; each request
 shares its places over the clusters by the square root of their sizes, places a cluster cannot fill go
 to the others, and members are drawn by a hash within their quotas.
 """
@@ -20,9 +20,10 @@ from .arrowtext import codepoints, row_ids
 from .neardup import _mix
 from .normalize import real_text, with_normal_form
 
-DIM, CLUSTERS, BATCH, BATCHES = 128, 64, 1024, 24
+DIM, CLUSTERS, BATCH = 128, 64, 1024
 NEAR = 0.9  #: squared distance of unit vectors: a cosine of 0.55
-SAMPLE = BATCH * BATCHES  #: bound of the rows the centres are fitted on; every row is assigned
+SEED_ROUNDS, ROUNDS = 6, 8  #: passes over all texts that propose seeds, and that move the centres
+GRID = 32767  #: vectors are kept as 16-bit integers, so sums are exact and do not depend on their order
 
 
 def features(column: pa.Array, dim: int = DIM) -> np.ndarray:
@@ -55,13 +56,8 @@ def minibatch_kmeans(x: np.ndarray, k: int, batch: int = BATCH, seed: int = 5) -
         return np.zeros((0, x.shape[1]))
     rng = np.random.default_rng(seed)
     head = x[: max(batch, 4 * k)]
-    centres = [head[0]]
-    far = ((head - centres[0]) ** 2).sum(1)
-    while len(centres) < min(k, len(head)) and far.max() > NEAR:
-        far[far <= NEAR] = 0
-        centres.append(head[rng.choice(len(head), p=far / far.sum())])
-        far = np.minimum(far, ((head - centres[-1]) ** 2).sum(1))
-    c, seen = np.array(centres), np.zeros(len(centres))
+    c = far_points(head, k, np.ones(len(head)), rng)
+    seen = np.zeros(len(c))
     for at in range(0, len(x), batch):
         part = x[at : at + batch]
         near = nearest(part, c)
@@ -72,6 +68,92 @@ def minibatch_kmeans(x: np.ndarray, k: int, batch: int = BATCH, seed: int = 5) -
     return c
 
 
+def far_points(x: np.ndarray, k: int, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """At most ``k`` of the points, the first and then each by its weight and its squared distance from those taken; none within ``NEAR`` of another."""
+    taken = [x[0]]
+    far = ((x - taken[0]) ** 2).sum(1)
+    while len(taken) < min(k, len(x)) and far.max() > NEAR:
+        far[far <= NEAR] = 0
+        p = far * weight
+        taken.append(x[rng.choice(len(x), p=p / p.sum())])
+        far = np.minimum(far, ((x - taken[-1]) ** 2).sum(1))
+    return np.array(taken)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors (n, DIM) of a column of 16-bit integers, times ``GRID``."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, DIM).astype(np.float64)
+
+
+def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
+    """Centres (<= k, DIM) of all points (k1, k2, v): k-means|| seeds, then k-means; only centres and their sums reach the driver.
+
+    A round of seeding draws 2k points by their squared distance from those proposed so far, without
+    points within ``NEAR`` of one; the proposals, weighted by the points nearest to them, are thinned to k.
+    """
+
+    def draw(proposed: np.ndarray, number: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _vectors(b.column(2)) / GRID
+                far = np.maximum(((x**2).sum(1)[:, None] - 2 * x @ proposed.T + (proposed**2).sum(1)).min(1), 0) if len(proposed) else np.ones(len(x))
+                keys = [np.asarray(b.column(i)).astype(np.int64).view(np.uint64) for i in (0, 1)]
+                u = ((_mix(_mix(keys[0] + np.uint64(seed * 1000 + number)) ^ keys[1]) >> np.uint64(11)).astype(float) + 0.5) / 2.0**53
+                ok = np.flatnonzero(far > NEAR)  # the smallest of these waiting times are a draw without replacement by weight
+                wait = -np.log(u[ok]) / far[ok]
+                first = ok[np.argsort(wait, kind="stable")[: 2 * k]]
+                part = pa.table({"wait": -np.log(u[first]) / far[first], "k2": b.column(1).take(pa.array(first)), "k1": b.column(0).take(pa.array(first)), "v": b.column(2).take(pa.array(first))})
+                best = (part if best is None else pa.concat_tables([best, part])).sort_by([("wait", "ascending"), ("k2", "ascending"), ("k1", "ascending")]).slice(0, 2 * k)
+            if best is not None:
+                yield from best.combine_chunks().to_batches()
+
+        got = points.mapInArrow(run, "wait double, k2 long, k1 long, v binary").orderBy("wait", "k2", "k1").limit(2 * k).toArrow()
+        return _vectors(got["v"]) / GRID if got.num_rows else np.zeros((0, DIM))
+
+    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many points are nearest to each centre, and their sums."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, total = np.zeros(len(c), np.int64), np.zeros((len(c), DIM))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = _vectors(b.column(2))
+                near = nearest(x / GRID, c)
+                order = np.argsort(near, kind="stable")
+                at, start = np.unique(near[order], return_index=True)
+                total[at] += np.add.reduceat(x[order], start, axis=0)
+                n += np.bincount(near, minlength=len(c))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array([r.tobytes() for r in total[at]], pa.binary())], names=["j", "n", "total"])
+
+        n, total = np.zeros(len(c), np.int64), np.zeros((len(c), DIM))
+        for r in points.mapInArrow(run, "j int, n long, total binary").toLocalIterator():
+            n[r["j"]] += r["n"]
+            total[r["j"]] += np.frombuffer(bytes(r["total"]))
+        return n, total
+
+    proposed = draw(np.zeros((0, DIM)), 0)[:1]
+    if not len(proposed):
+        return np.zeros((1, DIM))
+    for number in range(1, SEED_ROUNDS + 1):
+        more = draw(proposed, number)
+        if not len(more):
+            break
+        proposed = np.concatenate([proposed, more])
+    c = far_points(proposed, k, np.maximum(sums(proposed)[0], 1).astype(float), np.random.default_rng(seed))
+    for _ in range(ROUNDS):
+        n, total = sums(c)
+        moved = np.where(n[:, None] > 0, total / GRID / np.maximum(n, 1)[:, None], c)
+        still, c = np.allclose(moved, c, atol=1e-4), moved
+        if still:
+            break
+    return c
+
+
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1)
 
@@ -97,7 +179,7 @@ def quotas(sizes: np.ndarray, places: int) -> np.ndarray:
     return got
 
 
-def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame, id_col: str = "doc_id", text_col: str = "comment", clusters: int = CLUSTERS, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame, id_col: str = "doc_id", text_col: str = "comment", clusters: int = CLUSTERS, seed: int = 5) -> DataFrame:
     """(request_id, category, subset_size, doc_id, cluster, cluster_texts): the subset of every request.
 
     A request with a null category draws on all texts.  Texts equal in their consistent form count once,
@@ -109,24 +191,21 @@ def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame,
     one = with_normal_form(one.groupBy("doc_id").agg(F.min("t").alias("t")), "t", "f")
     docs = checkpointed(one.select("doc_id", "f", F.xxhash64("f").alias("k1"), F.xxhash64("f", F.lit(seed)).alias("k2")))
     distinct = docs.groupBy("k1", "k2").agg(F.min("f").alias("f"))
-    # the sample is found by its keys and turned into vectors where its texts lie: only bounded vectors reach the driver
-    chosen = distinct.select("k1", "k2").orderBy("k2", "k1").limit(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = features(b.column(2)).astype(np.float32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, DIM, dtype=np.int32)), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["k1", "k2", "v"])
+            v = np.round(features(b.column(2)) * GRID).astype("<i2")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in v], pa.binary())], names=["k1", "k2", "v"])
 
-    drawn = distinct.join(chosen, ["k1", "k2"], "left_semi").mapInArrow(vectors, "k1 long, k2 long, v array<float>").toArrow().sort_by([("k2", "ascending"), ("k1", "ascending")])
-    points = np.asarray(drawn["v"].combine_chunks().flatten(), np.float64).reshape(-1, DIM) if drawn.num_rows else np.zeros((0, DIM))
-    centres = minibatch_kmeans(points, clusters, seed=seed) if len(points) else np.zeros((1, DIM))
+    points = checkpointed(distinct.mapInArrow(vectors, "k1 long, k2 long, v binary"))
+    centres = fit_centres(points, clusters, seed)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(features(b.column(2)), centres), pa.int32())], names=["k1", "k2", "cluster"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nearest(_vectors(b.column(2)) / GRID, centres), pa.int32())], names=["k1", "k2", "cluster"])
 
-    placed = distinct.mapInArrow(assign, "k1 long, k2 long, cluster int")
+    placed = points.mapInArrow(assign, "k1 long, k2 long, cluster int")
     ask = requests.select("request_id", F.col("category"), F.col("subset_size").cast("int").alias("subset_size")).where("subset_size > 0").distinct()
     most = ask.agg(F.max("subset_size")).first()[0] or 0
     keyed = docs.select("doc_id", "k1", "k2")

@@ -47,3 +47,15 @@ def test_subsets(spark):
     assert len(set(mine)) == 40 and sum(d >= "0700" for d in mine) >= 8
     assert sorted(map(tuple, varied_subsets(texts, cats, ask).collect())) == sorted(map(tuple, out))
     assert varied_subsets(texts.where("false"), cats, ask).count() == 0 == varied_subsets(texts, cats, ask.where("false")).count()
+
+
+def test_a_theme_of_few_texts_has_its_own_centre(spark):
+    # themes that fall outside the first texts by hash order, which alone gave seeds
+    common = [(f"a{i:05d}", f"早餐的味道很好第{i}次") for i in range(3000)]
+    rare = [(f"b{i:05d}", f"The swimming pool is closed {i}") for i in range(60)]
+    late = spark.createDataFrame(rare, "doc_id string, comment string").where("xxhash64(comment, 5) > 0")
+    texts = spark.createDataFrame(common, "doc_id string, comment string").union(late)
+    cats = spark.createDataFrame([], "doc_id string, category string")
+    out = varied_subsets(texts, cats, spark.createDataFrame([(1, None, 3060)], ASK)).collect()
+    of = {k: {r["cluster"] for r in out if r["doc_id"][0] == k} for k in "ab"}
+    assert of["a"] and of["b"] and not of["a"] & of["b"]
