@@ -20,7 +20,7 @@ from .operators import context as X
 from .operators import fusion, ranking
 from .operators.bm25 import Bm25Index, tokens_of
 from .operators.vector import IvfIndex, cosine_topk
-from .schema import SearchConfig
+from .schema import DEFAULTS, SearchConfig
 from .sources.tables import one_per_key, stringified, typed, with_fallback
 
 CFG = SearchConfig()
@@ -266,16 +266,29 @@ def _relevance(q: str = "qe", c: str = "ce") -> Column:
     return (dot(F.col(q), F.col(c)) + 1.0) / 2.0
 
 
-def _candidates(s: SparkSession, d: str, fused: DataFrame) -> DataFrame:
-    """Fused records with what reranking and scoring need; text and vectors join only these few rows a query."""
+STORED = ["comment", "room_type", "fuzzy_room_type"]  #: what the store of questions keeps of a comment
+
+
+def _candidates(s: SparkSession, d: str, fused: DataFrame, stored: DataFrame, on: list[str]) -> DataFrame:
+    """Fused records with what reranking and scoring need; text and vectors join only these few rows a query.
+
+    A record first seen on the reverse route takes the fields ``stored`` with its question, then the
+    comment's; one whose comment is gone stays, with typed defaults.
+    """
     log = read(s, d, "query_log").select("query_id", "time_sensitivity").distinct()
-    out = fused.join(log, "query_id").join(comments(s, d), "doc_id")
+    kept = stored.select(*on, F.lit("reverse").alias("source"), *[F.col(c).alias(f"_s_{c}") for c in STORED])
+    out = fused.join(log, "query_id").join(comments(s, d), "doc_id", "left").join(kept, [*on, "source"], "left")
+    defaults = {"score_val" if k == "score" else k: v for k, v in DEFAULTS.items()}
+    out = out.withColumns({c: F.coalesce(*([F.col(f"_s_{c}")] if c in STORED else []), F.col(c), F.lit(v)) for c, v in defaults.items()}).drop(*[f"_s_{c}" for c in STORED])
     out = _with_vector(s, d, out, F.col("query_id") * 7).withColumnRenamed("embedding", "qe")
     return _with_vector(s, d, out, F.col("doc_id").cast("long")).withColumnRenamed("embedding", "ce")
 
 
 def _reranked(s: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(_candidates(s, d, _fused(s, d, limit=CFG.candidates)), _relevance(), CFG.topk_rerank)
+    # the log does not tell the question of a hit: the first one of a comment that is gone stands for it
+    gone = questions(s, d).join(comments(s, d).select(F.col("doc_id").alias("comment_id")), "comment_id", "left_anti")
+    stored = gone.groupBy(F.col("comment_id").alias("doc_id")).agg(*[F.min_by(c, "query_id").alias(c) for c in STORED])
+    return ranking.rerank(_candidates(s, d, _fused(s, d, limit=CFG.candidates), stored, ["doc_id"]), _relevance(), CFG.topk_rerank)
 
 
 def rerank_top40(s, d):
@@ -361,9 +374,11 @@ def build_counts(s, d):
 # --- end to end ------------------------------------------------------------------------------------------
 def _e2e(s: SparkSession, d: str, sensitive: Column) -> DataFrame:
     q = lambda df, source: df.select("query_id", F.lit(0).alias("query_idx"), F.lit(source).alias("source"), F.col("rank").cast("int").alias("hit_rank"), "doc_id", "score")
-    lists = fusion.union_lists(q(bm25_search(s, d), "text"), q(cosine_topk_filtered(s, d), "vector"), q(reverse_recall(s, d), "reverse"), q(hyde_recall(s, d), "hyde"))
+    found = reverse_recall(s, d)
+    stored = found.select("query_id", "question_id", F.col("rank").alias("first_rank")).join(questions(s, d).select(F.col("query_id").alias("question_id"), *STORED), "question_id")
+    lists = fusion.union_lists(q(bm25_search(s, d), "text"), q(cosine_topk_filtered(s, d), "vector"), q(found, "reverse"), q(hyde_recall(s, d), "hyde"))
     fused = fusion.fuse(fusion.rank_lists(lists), CFG.rrf_k, limit=CFG.candidates)
-    ranked = ranking.rerank(_candidates(s, d, fused), _relevance(), CFG.topk_rerank)
+    ranked = ranking.rerank(_candidates(s, d, fused, stored, ["query_id", "first_rank"]), _relevance(), CFG.topk_rerank)
     return ranking.composite(ranked, sensitive, CFG, CFG.topk_final)
 
 
