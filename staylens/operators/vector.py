@@ -109,6 +109,36 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def pairwise_best(collection: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, n, best): how many rows of the collection each query was multiplied with, and the greatest dot product.
+
+    Each task multiplies its batches with a block of queries and passes on one row a query; null and
+    odd-sized vectors have no product.
+    """
+    qkind = queries.schema["query_id"].dataType.simpleString()
+    arrow_query = to_arrow_type(queries.schema["query_id"].dataType)
+    out = None
+    for ids, q, _ in _blocks(queries, []):
+
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            n, best = 0, np.full(len(ids), -np.inf)
+            for b in batches:
+                lists = b.column(0)
+                rows = np.flatnonzero(np.asarray(lists.value_lengths().fill_null(0)) == q.shape[1])
+                if len(rows):
+                    x = np.asarray(lists.take(pa.array(rows)).flatten().cast(pa.float64())).reshape(len(rows), -1)
+                    n += len(rows)
+                    best = np.maximum(best, (x @ q.T).max(0))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_query), pa.array([n] * len(ids), pa.int64()), pa.array(best)], names=["query_id", "n", "best"])
+
+        part = collection.select("embedding").mapInArrow(run, f"query_id {qkind}, n long, best double")
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = collection.sparkSession.createDataFrame([], f"query_id {qkind}, n long, best double")
+    return out.groupBy("query_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 @dataclass
 class IvfIndex:
     """Inverted file: rows by their nearest coarse centre.  Centres are fitted on a bounded sample, every row is indexed."""

@@ -19,7 +19,7 @@ from .functions.vector import dot
 from .operators import context as X
 from .operators import fusion, ranking
 from .operators.bm25 import Bm25Index, tokens_of
-from .operators.vector import IvfIndex, cosine_topk
+from .operators.vector import IvfIndex, cosine_topk, pairwise_best
 from .schema import DEFAULTS, SearchConfig
 from .sources.tables import one_per_key, stringified, typed, with_fallback
 
@@ -208,9 +208,7 @@ def summary_recall_top3(s, d):
 
 
 def pairwise_dot(s, d):
-    q = query_vectors(s, d).select("query_id", "embedding")
-    one = vectors(s, d).select("label", F.col("embedding").alias("e")).join(q, F.expr("label = query_id % 10"))
-    return one.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("e"), F.col("embedding"))), 6).alias("best"))
+    return pairwise_best(vectors(s, d), query_vectors(s, d).select("query_id", "embedding")).withColumn("best", F.round("best", 6))
 
 
 def category_centres(s, d):
