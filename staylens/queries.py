@@ -50,9 +50,13 @@ def _with_vector(s: SparkSession, d: str, rows: DataFrame, number: Column) -> Da
     return rows.withColumn("vec_id", F.pmod(number, F.lit(_n(s, d)))).join(v, "vec_id").drop("vec_id")
 
 
+def query_log(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "query_log").select("query_id", "query", "intent_room_type", "intent_fuzzy_room_type", "time_sensitivity", "hyde").distinct()
+
+
 def asked(s: SparkSession, d: str) -> DataFrame:
-    log = read(s, d, "query_log").where("query_id % 20 = 0")
-    return log.select("query_id", "query", "intent_room_type", "intent_fuzzy_room_type", "time_sensitivity", "hyde").distinct()
+    """The query set of the searches."""
+    return query_log(s, d).where("query_id % 20 = 0")
 
 
 def query_vectors(s: SparkSession, d: str, shift: int = 0) -> DataFrame:
@@ -117,14 +121,21 @@ def summary_truncate(s, d):
 
 
 def hyde_preview(s, d):
-    return asked(s, d).select("query_id", F.when(F.col("hyde") & (F.col("query") != ""), T.preview(F.col("query"), 10, always=True)).alias("preview"))
+    return query_log(s, d).select("query_id", F.when(F.col("hyde") & (F.col("query") != ""), T.preview(F.col("query"), 100, always=True)).alias("preview"))
 
 
 # --- filters ---------------------------------------------------------------------------------------------
 def prefilter_conj(s, d):
-    c, q = comments(s, d).select("doc_id", "room_type", "fuzzy_room_type"), asked(s, d).where("intent_fuzzy_room_type <> ''")
-    met = c.join(q.select("query_id", F.col("intent_fuzzy_room_type").alias("fuzzy_room_type"), "intent_room_type"), "fuzzy_room_type")
-    return met.where("coalesce(intent_room_type, '') = '' or intent_room_type = room_type").select("query_id", "doc_id")
+    """The comments each logged query may see; a term that is not given does not filter, so a query without terms sees all."""
+    c = comments(s, d).select("doc_id", "room_type", "fuzzy_room_type")
+    q = query_log(s, d).select("query_id", *[F.nullif(F.col(w), F.lit("")).alias(f"_{k}") for k, w in FILTERS.items()])
+    parts = []
+    # queries by the terms they give, so that each kind but the last is an equality join
+    for given in (["fuzzy_room_type", "room_type"], ["fuzzy_room_type"], ["room_type"], []):
+        some = q.where(reduce(lambda x, y: x & y, [F.col(f"_{k}").isNotNull() if k in given else F.col(f"_{k}").isNull() for k in FILTERS]))
+        met = c.join(some, [c[k] == some[f"_{k}"] for k in given]) if given else c.crossJoin(some)
+        parts.append(met.select("query_id", "doc_id"))
+    return reduce(lambda x, y: x.union(y), parts)
 
 
 def token_filter(s, d):
@@ -133,11 +144,11 @@ def token_filter(s, d):
 
 
 def stopword_antijoin(s, d):
-    return tokens_of(asked(s, d), ["query_id"], "query", stop_words(s, d)).groupBy("query_id", "term").agg(F.count("*").alias("n"))
+    return tokens_of(query_log(s, d), ["query_id"], "query", stop_words(s, d)).groupBy("query_id", "term").agg(F.count("*").alias("n"))
 
 
 def strip_blanks(s, d):
-    return asked(s, d).select("query_id", T.strip_blanks(F.concat(F.lit("　 "), F.col("query"), F.lit("\t\n"))).alias("query"))
+    return query_log(s, d).select("query_id", T.strip_blanks(F.concat(F.lit("　 "), F.col("query"), F.lit("\t\n"))).alias("query"))
 
 
 # --- lexical ---------------------------------------------------------------------------------------------
@@ -350,7 +361,7 @@ def event_counts(s, d):
 
 
 def intent_flags(s, d):
-    return asked(s, d).select("query_id", F.col("time_sensitivity").isNotNull().alias("time_sensitive"), (F.coalesce("intent_room_type", F.lit("")) != "").alias("by_room"))
+    return query_log(s, d).select("query_id", F.col("time_sensitivity").isNotNull().alias("time_sensitive"), (F.coalesce("intent_room_type", F.lit("")) != "").alias("by_room"))
 
 
 # --- build -----------------------------------------------------------------------------------------------
