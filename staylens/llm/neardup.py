@@ -186,9 +186,9 @@ def _prefix_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     ranked = ranked.withColumn("pos", F.row_number().over(per.orderBy("df", "s"))).withColumn("size", F.count("*").over(per))
     prefix = ranked.where(F.expr(f"pos <= size - ceil({threshold} * size) + 1 and df > 1")).select("class_id", "s", "size", "pos")
     a, b = prefix.alias("a"), prefix.alias("b")
-    # positional filter: what is left after the match must still be able to reach the threshold
+    # positional filter: what is left after the match must still be able to reach the threshold; a quotient would be rounded
     met = a.join(b, F.expr(f"""a.s = b.s and a.class_id < b.class_id and least(a.size, b.size) >= {threshold} * greatest(a.size, b.size)
-        and least(a.size - a.pos, b.size - b.pos) + least(a.pos, b.pos) >= {threshold} / (1 + {threshold}) * (a.size + b.size)"""))
+        and (1 + {threshold}) * (least(a.size - a.pos, b.size - b.pos) + least(a.pos, b.pos)) >= {threshold} * (a.size + b.size)"""))
     return met.select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
 
 

@@ -97,3 +97,10 @@ def test_superminhash_estimates_jaccard():
     slow = superminhash(r[r == 0], h[r == 0], 1, 256)
     assert np.array_equal(slow[0], sig[0])
     assert np.isinf(superminhash(np.zeros(0, int), np.zeros(0, np.uint64), 1, 8)).all()
+
+
+def test_a_contained_set_at_exactly_the_threshold(spark):
+    whole = "".join(chr(0x4E00 + i) for i in range(52))
+    forms = [whole, *[whole[i : i + 37] for i in range(16)]]  # 50 shingles, and 35 of them
+    c = spark.createDataFrame(list(enumerate(forms)), "class_id long, form string")
+    assert {(0, i) for i in range(1, 17)} <= {(r["a"], r["b"]) for r in _prefix_pairs(c, 0.7, 3).collect()}
