@@ -214,7 +214,6 @@ def fold(text: str) -> tuple[str, list[int] | None]:
 
 
 _DIGIT = re.compile(r"\d")
-_MAYBE = re.compile(rf"[@\d{_NUM}]{{2}}|@|艾特|\bat\b|\d|{_NAME}|\p{{Lu}}\p{{Ll}}+ \p{{Lu}}")
 
 
 def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
@@ -222,8 +221,6 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
     if not text:
         return []
     folded, where = fold(text)
-    if not _MAYBE.search(folded):
-        return []
     found = []
     digit = _DIGIT.search(folded) is not None
     for p in proposals():

@@ -61,3 +61,8 @@ def test_tables(spark):
     out = {r["doc_id"]: r for r in redacted(df).collect()}
     assert len(out) == 5 and out["2"]["text"] is None and out["1"]["text"] == "电话[PHONE]" and out["5"]["n_mentions"] == 0
     assert mentions(df.where("false")).count() == 0
+
+
+def test_no_text_is_left_unread():
+    assert [k for *_, k, _ in find_spans("write to john.smith AT gmail DOT com please")] == ["email"]
+    assert [k for *_, k, _ in find_spans("gracias a Carmen de Prado por todo")] == ["person_name"]
