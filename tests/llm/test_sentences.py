@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from staylens.llm.sentences import sentence_ends, sentences
+from staylens.llm.sentences import language_of, sentence_ends, sentences
 
 CASES = [
     ["早餐很好。", "房间干净！", "还能看到茶楼吗？！"],
@@ -28,6 +28,9 @@ CASES = [
     ["1. Das Zimmer war gut.", "\n2. Der Bus kam."],
     ["It was a long walk from the old harbour to the very last one\nof the Museum halls.", " Then we slept."],
     ["Good😀👍", "\nBad! 😀"],
+    ["The answer is no.", " We left."], ["We met Max.", " He was kind."], ["It is modern art.", " We liked it."], ["Use vitamin C.", " It helps."],
+    ["It got 9 out of 5.", "Our bath was cold."], ["Written by A. B. Karr et al. in vol. 3, art. 5 and no. 7.", " Fine."], ["Es kostete 20.", " Das war viel."],
+    ["茶很香.", "wifi也快。", "灯光太暗……", "wifi也慢。"], ["店员说：“好的。马上。”", "wifi也快。"],
 ]
 
 
@@ -41,6 +44,19 @@ def test_cases(parts):
     assert sentence_ends(text) == ends
 
 
+def test_language():
+    assert sentence_ends("Siehe Nr. Das gilt.", "de") == [9, 19]
+    assert language_of("the cat and the dog", "de") == "en" and language_of("der Hund und die Katze", None) == "de"
+    assert language_of("xyz", "fr") == "fr" and language_of("xyz", "qq") == "" == language_of("", None)
+    # a lone letter before a stop is an abbreviation in some languages only
+    assert sentence_ends("We saw plan d. Then we left the house.", "en") == [14, 38]
+    assert sentence_ends("Wir und z. B. Otto, der kam.", "de") == [28]
+
+
+def test_a_wrapped_line_end_is_a_blank():
+    assert sentence_ends("11\n bก") == [7 - 1]
+
+
 @pytest.mark.parametrize("text", [None, "", "  \n　\n"])
 def test_none(text):
     assert sentence_ends(text) == []
