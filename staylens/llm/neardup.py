@@ -2,9 +2,11 @@
 
 Texts are taken in their consistent form without white space; equal ones form a class and only classes
 are compared.  Signatures come from correlated permutation ranks with early stopping; classes that
-share a band are verified on their exact shingle sets.  A bucket larger than ``max_bucket`` is not
-paired off: its members go through an exact prefix-filtered join on their rarest shingles, so no pair
-is lost to a bound.
+share a band are verified on their exact shingle sets.  The members of a bucket of more than
+``max_bucket`` classes, counted over all data, are not paired off: they go through an exact
+prefix-filtered join on their rarest shingles, so no pair is lost to the bound.  Batches are worked on
+in slices of bounded numbers of characters, so memory depends neither on the partition nor, but for the
+text itself, on the length of a text.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ from ..session import checkpointed
 from .arrowtext import codepoints, row_ids, to_arrow
 from .normalize import normalize_codepoints, real_text
 
-BANDS, ROWS = 50, 6  #: a pair at exactly 0.7 shares a band with probability 1 - (1 - 0.7**6)**50 = 0.998, at 0.75 with 0.9999
+BANDS, ROWS = 36, 5  #: a pair at exactly 0.7 shares a band with probability 1 - (1 - 0.7**5)**36 = 0.9987, at 0.75 with 0.99994
+SLICE_ROWS, SLICE_BYTES = 1000, 300_000  #: texts worked on at a time; a longer text is a slice of its own
+CHUNK = 20_000  #: classes among which a task looks for crowded buckets at a time
+_KEY_BITS = 51  #: of a shingle's hash inside a slice: two of a pair's shingles fall together about once in 10**11 pairs
 _BLANKS = np.array([0x20, 0x0A], np.uint32)
 
 
@@ -32,8 +37,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(cps: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct runs of ``k`` code points of each row, sorted."""
+def slices(batch: pa.RecordBatch, columns: list[int], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows whose texts have about ``size`` bytes; at least one row each."""
+    total = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0)).astype(np.int64) for c in columns))
+    at = 0
+    while at < len(batch):
+        done = int(total[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, done + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _shingle_keys(cps: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the runs of ``k <= 3`` code points of each row: the key holds the code points themselves."""
     rows = row_ids(offsets)
     if len(cps) < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -41,43 +57,61 @@ def shingle_sets(cps: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.n
     for i in range(1, k):
         h = (h << np.uint64(21)) ^ cps[i : len(cps) - k + 1 + i].astype(np.uint64)
     inside = rows[: len(cps) - k + 1] == rows[k - 1 :]
-    h, r = _mix(h[inside]), rows[: len(cps) - k + 1][inside]
-    order = np.lexsort((h, r))
-    h, r = h[order], r[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return r[new], h[new]
+    return rows[: len(inside)][inside], h[inside]
+
+
+def shingle_sets(cps: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct runs of ``k`` code points of each row, sorted; at most 4096 rows."""
+    rows, h = _shingle_keys(cps, offsets, k)
+    if not len(h):
+        return rows, h
+    # the row and a hash in one number: one plain sort instead of an indirect one over two columns
+    key = np.sort(rows.astype(np.uint64) << np.uint64(52) | _mix(h) >> np.uint64(12))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64(2**52 - 1)
 
 
-def superminhash(rows: np.ndarray, items: np.ndarray, n: int, m: int) -> np.ndarray:
-    """SuperMinHash signatures (n, m) of the item sets given as sorted (row, item) pairs.
+def superminhash(rows: np.ndarray, items: np.ndarray, n: int, m: int, replayed: int = 24) -> np.ndarray:
+    """SuperMinHash signatures (n, m) of the item sets given as (row, item) pairs.
 
     Each item draws a random permutation of the ``m`` positions, one step a round, and offers
-    ``round + fraction`` at the position drawn; a row stops once every position holds a value below
-    the next round, since later offers cannot be smaller.  Rows without items stay infinite.
+    ``round + fraction`` at the position drawn.  An offer of a round is above all of the rounds before,
+    so only positions still empty take one, and a row stops, with all work on its items, once none is
+    empty.  The permutation of an item is replayed from its swaps in the first ``replayed`` rounds, which
+    end all but the smallest sets; only the items left then get one laid out.  Rows without items stay
+    infinite.
     """
-    distinct, inverse = np.unique(items, return_inverse=True)
-    perm = np.tile(np.arange(m, dtype=np.uint16), (len(distinct), 1))
-    sig = np.full(n * m, np.inf, np.float64)
-    all_d = np.arange(len(distinct))
-    live_pairs, live_rows = np.arange(len(items)), np.ones(n, bool)
+    sig = np.full(n * m, np.inf)
+    base, swaps, laid = rows * m, [], None
     for j in range(m):
+        if not len(items):
+            break
         with np.errstate(over="ignore"):
-            u = _mix(distinct + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        at = j + (u >> np.uint64(32)).astype(np.int64) % (m - j)
-        mine = perm[all_d, at]
-        perm[all_d, at] = perm[all_d, j]
-        perm[all_d, j] = mine
-        frac = (u & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32
-        d = inverse[live_pairs]
-        np.minimum.at(sig, rows[live_pairs] * m + mine[d], j + frac[d])
-        worst = sig.reshape(n, m).max(axis=1)
-        done = live_rows & (worst < j + 1)
-        if done.any():
-            live_rows &= ~done
-            live_pairs = live_pairs[live_rows[rows[live_pairs]]]
-            if not len(live_pairs):
-                break
+            u = _mix(items + np.uint64((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        at = (j + ((u >> np.uint64(32)) * np.uint64(m - j) >> np.uint64(32))).astype(np.int16)
+        if laid is None and j >= replayed:
+            laid = np.tile(np.arange(m, dtype=np.int16), (len(items), 1))
+            every = np.arange(len(items))
+            for i, before in enumerate(swaps):
+                laid[every, before], laid[every, i] = laid[every, i], laid[every, before]
+        if laid is None:
+            place = at
+            for i in range(j - 1, -1, -1):  # what stands at a place was put there by the last swap with it
+                place = np.where(place == swaps[i], np.int16(i), place)
+            swaps.append(at)
+        else:
+            every = np.arange(len(items))
+            place = laid[every, at]
+            laid[every, at] = laid[:, j]
+            laid[:, j] = place
+        slot = base + place
+        taken = np.flatnonzero(np.isinf(sig[slot]))
+        if len(taken):
+            np.minimum.at(sig, slot[taken], j + (u[taken] & np.uint64(0xFFFFFFFF)).astype(np.float64) / 2**32)
+        stay = np.isinf(sig.reshape(n, m)).any(1)[rows]
+        if 4 * np.count_nonzero(stay) < 3 * len(stay):
+            rows, items, base, swaps = rows[stay], items[stay], base[stay], [x[stay] for x in swaps]
+            laid = None if laid is None else laid[stay]
     return sig.reshape(n, m)
 
 
@@ -120,50 +154,53 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> t
 def _signed(classes: DataFrame, bands: int, rows: int, k: int, max_bucket: int) -> DataFrame:
     """(class_id, bucket, size, crowded): one row a band; the band is part of the bucket's hash.
 
-    ``crowded`` marks the rows of a bucket that has more than ``max_bucket`` of them within this task,
-    so that no hot bucket need be gathered to be found: one without marks has at most ``max_bucket``
-    rows for each task.
+    ``crowded`` marks the rows of a bucket that has more than ``max_bucket`` of them among ``CHUNK``
+    classes of a task, so that no hot bucket need be gathered to be found: one without marks has at most
+    ``max_bucket`` rows for each chunk.
     """
     kind = classes.schema["class_id"].dataType.simpleString()
 
+    def marked(ids: list, keys: list, sizes: list) -> Iterator[pa.RecordBatch]:
+        found, count = np.unique(np.concatenate(keys).ravel(), return_counts=True)
+        crowded = found[count > max_bucket]
+        for who, key, size in zip(ids, keys, sizes):
+            take, key = np.repeat(np.arange(len(who)), bands), key.ravel()
+            hit = np.isin(key, crowded) if len(crowded) else np.zeros(len(key), bool)
+            yield pa.RecordBatch.from_arrays([who.take(pa.array(take)), pa.array(key), pa.array(size[take]), pa.array(hit)], names=["class_id", "bucket", "size", "crowded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, sizes = [], [], []
+        ids, keys, sizes, held = [], [], [], 0
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, [1]):
                 cps, offsets, _ = codepoints(part.column(1))
                 r, h = shingle_sets(cps, offsets, k)
                 ids.append(part.column(0))
                 sizes.append(np.bincount(r, minlength=len(part)).astype(np.int32))
                 keys.append(bands_of(superminhash(r, h, len(part), bands * rows), bands, rows))
-        if not ids:
-            return
-        found, count = np.unique(np.concatenate(keys).ravel(), return_counts=True)
-        crowded = found[count > max_bucket]
-        for who, key, size in zip(ids, keys, sizes):
-            take = np.repeat(np.arange(len(who)), bands)
-            yield pa.RecordBatch.from_arrays([who.take(pa.array(take)), pa.array(key.ravel()), pa.array(size[take]), pa.array(np.isin(key.ravel(), crowded))], names=["class_id", "bucket", "size", "crowded"])
+                held += len(part)
+                if held >= CHUNK:
+                    yield from marked(ids, keys, sizes)
+                    ids, keys, sizes, held = [], [], [], 0
+        if ids:
+            yield from marked(ids, keys, sizes)
 
     return classes.select("class_id", "form").mapInArrow(run, f"class_id {kind}, bucket long, size int, crowded boolean")
 
 
-def _shingles(form, k: int):  # noqa: ANN001, ANN202
-    """The distinct runs of ``k`` characters as an array expression."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(form) - (k - 1)), lambda i: F.substring(form, i, F.lit(k))))
-
-
 def candidate_pairs(classes: DataFrame, threshold: float, bands: int, rows: int, k: int, max_bucket: int) -> DataFrame:
     """Distinct (a < b) class pairs that share a bucket, with sizes compatible with the threshold.
 
     Buckets up to ``max_bucket`` members are paired inside; members of larger ones are joined on the
-    rarest shingles of their prefixes, which is exact for the threshold.
+    rarest shingles of their prefixes, which is exact for the threshold.  What counts is the size of the
+    bucket over all data, however it is spread: a bucket marked in some chunk has more than
+    ``max_bucket`` members, and the others are counted whole.
     """
-    signed = _signed(classes, bands, rows, k, max_bucket).persist(StorageLevel.DISK_ONLY)
+    signed = checkpointed(_signed(classes, bands, rows, k, max_bucket))
     crowded = signed.where("crowded").select("bucket").distinct()
     calm = crowded.isEmpty()
     # one exchange by bucket serves the count and the lists; what stands alone in its bucket goes no further
     cold = (signed if calm else signed.join(crowded, "bucket", "left_anti")).select("class_id", "bucket", "size").repartition("bucket")
-    shared = cold.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    shared = checkpointed(cold.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
     small = shared.where(F.col("n") <= max_bucket).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("size", "class_id"))).alias("g"))
     # members come ordered by set size: a partner is at most 1/threshold times as large
     pairs = small.select(F.posexplode("g").alias("i", "x"), "g").select("x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
@@ -177,14 +214,36 @@ def candidate_pairs(classes: DataFrame, threshold: float, bands: int, rows: int,
     return pairs.distinct()
 
 
+def _tokens(classes: DataFrame, k: int) -> DataFrame:
+    """(class_id, s, size): one row a distinct shingle, whose number holds its characters."""
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, [1]):
+                cps, offsets, _ = codepoints(part.column(1))
+                r, h = _shingle_keys(cps, offsets, k)
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
+                r, h = r[new], h[new]
+                size = np.bincount(r, minlength=len(part)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(h.view(np.int64)), pa.array(size[r])], names=["class_id", "s", "size"])
+
+    return classes.select("class_id", "form").mapInArrow(run, f"class_id {kind}, s long, size int")
+
+
 def _prefix_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Candidate pairs of an exact similarity join: two sets at the threshold share one of their rarest shingles."""
-    tokens = classes.select("class_id", F.explode(_shingles(F.col("form"), k)).alias("s"))
-    freq = tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1 or df = 1")
-    ranked = tokens.join(freq, "s")
-    per = Window.partitionBy("class_id")
-    ranked = ranked.withColumn("pos", F.row_number().over(per.orderBy("df", "s"))).withColumn("size", F.count("*").over(per))
-    prefix = ranked.where(F.expr(f"pos <= size - ceil({threshold} * size) + 1 and df > 1")).select("class_id", "s", "size", "pos")
+    """Candidate pairs of an exact similarity join: two sets at the threshold share one of their rarest shingles.
+
+    A shingle's frequency orders it, and the prefixes hold the rarest ones, so no shingle that many
+    texts share is joined on unless those texts have nothing rarer.
+    """
+    tokens = checkpointed(_tokens(classes, k))
+    freq = tokens.groupBy("s").agg(F.count("*").alias("df"))
+    per = Window.partitionBy("class_id").orderBy("df", "s")
+    ranked = tokens.join(freq, "s").withColumn("pos", F.row_number().over(per))
+    prefix = checkpointed(ranked.where(F.expr(f"pos <= size - ceil({threshold} * size) + 1 and df > 1")).select("class_id", "s", "size", "pos"))
     a, b = prefix.alias("a"), prefix.alias("b")
     # positional filter: what is left after the match must still be able to reach the threshold; a quotient would be rounded
     met = a.join(b, F.expr(f"""a.s = b.s and a.class_id < b.class_id and least(a.size, b.size) >= {threshold} * greatest(a.size, b.size)
@@ -192,6 +251,23 @@ def _prefix_pairs(classes: DataFrame, threshold: float, k: int) -> DataFrame:
     return met.select(F.col("a.class_id").alias("a"), F.col("b.class_id").alias("b")).distinct()
 
 
+def jaccard(fa: pa.Array, fb: pa.Array, k: int = 3) -> np.ndarray:
+    """The similarity of the shingle sets of two columns of texts, row by row; at most 4096 rows, two texts without shingles have 0."""
+    n, keys = len(fa), []
+    for side, column in enumerate((fa, fb)):
+        cps, offsets, _ = codepoints(column)
+        rows, h = _shingle_keys(cps, offsets, k)
+        keys.append(rows.astype(np.uint64) << np.uint64(_KEY_BITS + 1) | _mix(h) >> np.uint64(64 - _KEY_BITS) << np.uint64(1) | np.uint64(side))
+    # pair, shingle and side in one number: after one sort equal shingles of a pair stand together
+    key = np.sort(np.concatenate(keys))
+    if not len(key):
+        return np.zeros(n)
+    key = key[np.append(True, key[1:] != key[:-1])]
+    pair = (key >> np.uint64(_KEY_BITS + 1)).astype(np.int64)
+    both = np.bincount(pair[1:][(key[1:] ^ key[:-1]) == 1], minlength=n)
+    return both / np.maximum(np.bincount(pair, minlength=n) - both, 1)
+
+
 def similar_classes(classes: DataFrame, threshold: float = 0.7, bands: int = BANDS, rows: int = ROWS, k: int = 3, max_bucket: int = 60) -> DataFrame:
     """Verified (a, b, similarity) class pairs, a < b, similarity the exact Jaccard of their shingle sets."""
     found = candidate_pairs(classes, threshold, bands, rows, k, max_bucket)
@@ -200,45 +276,37 @@ def similar_classes(classes: DataFrame, threshold: float = 0.7, bands: int = BAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 4000):
-                part = batch.slice(at, 4000)
-                n = len(part)
-                text = pa.chunked_array([part.column(part.schema.get_field_index("fa")), part.column(part.schema.get_field_index("fb"))]).combine_chunks()
-                cps, offsets, _ = codepoints(text)
-                r, h = shingle_sets(cps, offsets, k)
-                size = np.bincount(r, minlength=2 * n)
-                pair = r % n
-                order = np.lexsort((h, pair))
-                p, x = pair[order], h[order]
-                both_have = np.bincount(p[1:][(p[1:] == p[:-1]) & (x[1:] == x[:-1])], minlength=n)
-                sim = both_have / np.maximum(size[:n] + size[n:] - both_have, 1)
-                ok = pa.array(sim >= threshold - 1e-12)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("a")), part.column(part.schema.get_field_index("b")), pa.array(sim)], names=["a", "b", "similarity"]).filter(ok)
+            for part in slices(batch, [2, 3], 4000, 4 * SLICE_BYTES):
+                sim = jaccard(part.column(2), part.column(3), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sim)], names=["a", "b", "similarity"]).filter(pa.array(sim >= threshold - 1e-12))
 
     kind = classes.schema["class_id"].dataType.simpleString()
     return both.select("a", "b", "fa", "fb").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
+def _print_of(edges: DataFrame) -> tuple:
+    """Number and checksums of a set of edges."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 40)))).first())
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root): connected components by alternating large-star and small-star steps.
 
-    Union-find as joins: each round halves path lengths, and lineage is cut by a checkpoint.  Stops at
-    the fixed point; ``rounds`` bounds it far beyond the logarithm of any collection.  Only nodes with a
-    link appear.
+    Union-find as joins: each round halves path lengths, and lineage is cut by a checkpoint.  Rounds go on
+    to the fixed point, so groups are never left half joined.  Only nodes with a link appear.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    before, now = None, _print_of(edges)
+    while now != before:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        small = checkpointed(small)
-        same = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
-        edges = small
-        if same:
-            break
+        edges = checkpointed(small)
+        before, now = now, _print_of(edges)
     root = edges.groupBy("u").agg(F.min("v").alias("root"))
     return root.select(F.col("u").alias("node"), "root").union(root.select(F.col("root").alias("node"), "root").distinct())
 
@@ -249,7 +317,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Classes are compared; members are attached last.  Null, empty, ``nan`` and short texts have no pair.
     """
     members, classes = text_classes(df, id_col, text_col, min_chars)
-    members, classes = members.persist(StorageLevel.DISK_ONLY), checkpointed(classes)
+    members, classes = checkpointed(members), checkpointed(classes)
     links = similar_classes(classes, threshold, bands, rows, k, max_bucket).select("a", "b")
     own = classes.where("n_docs > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
     left, right = members.select(F.col("doc_id").alias("x"), F.col("class_id").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("class_id").alias("b"))

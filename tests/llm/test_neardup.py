@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from staylens.llm.arrowtext import codepoints
-from staylens.llm.neardup import _prefix_pairs, components, near_duplicate_groups, near_duplicate_pairs, shingle_sets, similar_classes, superminhash
+from staylens.llm.neardup import _prefix_pairs, components, jaccard, near_duplicate_groups, near_duplicate_pairs, shingle_sets, similar_classes, slices, superminhash
 from staylens.llm.normalize import normalize_arrow
 
 
@@ -104,3 +105,34 @@ def test_a_contained_set_at_exactly_the_threshold(spark):
     forms = [whole, *[whole[i : i + 37] for i in range(16)]]  # 50 shingles, and 35 of them
     c = spark.createDataFrame(list(enumerate(forms)), "class_id long, form string")
     assert {(0, i) for i in range(1, 17)} <= {(r["a"], r["b"]) for r in _prefix_pairs(c, 0.7, 3).collect()}
+
+
+def test_permutations_are_the_same_however_they_are_kept():
+    rnd = np.random.default_rng(4)
+    rows, items = np.sort(rnd.integers(0, 9, 60)), rnd.integers(0, 2**52, 60).astype(np.uint64)
+    sig = superminhash(rows, items, 9, 64)
+    assert np.array_equal(sig, superminhash(rows, items, 9, 64, replayed=0)) and np.array_equal(sig, superminhash(rows, items, 9, 64, replayed=64))
+    one = superminhash(np.zeros(1, int), items[:1], 1, 64)[0]  # one item offers every position in its own round
+    assert sorted(np.floor(one).tolist()) == list(range(64))
+
+
+def test_jaccard():
+    rnd = random.Random(8)
+    a = ["".join(rnd.choice("abc海") for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    b = [x[: rnd.randint(0, 40)] + "".join(rnd.choice("abc海") for _ in range(rnd.randint(0, 9))) for x in a]
+    cut = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    want = [len(cut(x) & cut(y)) / max(1, len(cut(x) | cut(y))) for x, y in zip(a, b)]
+    assert np.allclose(jaccard(pa.array(a), pa.array(b)), want)
+
+
+def test_very_long_texts_are_worked_on_one_at_a_time():
+    rnd = random.Random(3)
+    texts = ["".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(30_000)) for _ in range(12)] + ["短"] * 9
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), [0]))
+    assert [len(p) for p in parts] == [3, 3, 3, 12] and sum(map(len, parts)) == 21
+    tracemalloc.start()
+    for p in parts:
+        r, h = shingle_sets(*codepoints(p.column(0))[:2])
+        superminhash(r, h, len(p), 180)
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
