@@ -23,14 +23,14 @@ def _covers(x: np.ndarray, tests: Sequence[tuple[int, bool, float]]) -> np.ndarr
     return hit
 
 
-def _grow(x: np.ndarray, y: np.ndarray, most: int = 5) -> list[tuple[int, bool, float]]:
-    """Adds the test with the best FOIL gain until no negative is covered."""
+def _grow(x: np.ndarray, y: np.ndarray, features: Sequence[int], most: int = 5) -> list[tuple[int, bool, float]]:
+    """Adds the test of one of the ``features`` with the best FOIL gain until no negative is covered."""
     tests: list[tuple[int, bool, float]] = []
     hit = np.ones(len(x), bool)
     while len(tests) < most and (hit & ~y).any() and (hit & y).any():
         p0, n0 = (hit & y).sum(), (hit & ~y).sum()
         base, best = np.log2(p0 / (p0 + n0)), (0.0, None)
-        for j in range(x.shape[1]):
+        for j in features:
             order = np.argsort(x[hit, j], kind="stable")
             v, pos = x[hit, j][order], y[hit][order]
             edge = np.flatnonzero(np.diff(v) > 1e-12)
@@ -62,11 +62,12 @@ def _prune(x: np.ndarray, y: np.ndarray, tests: list[tuple[int, bool, float]]) -
     return best
 
 
-def induce(x: np.ndarray, labels: np.ndarray, names: Sequence[str], default: str, seed: int = 0, most_rules: int = 12, splits: int = 5, least: float = 0.95, fewest: float = 0.01) -> list[Rule]:
+def induce(x: np.ndarray, labels: np.ndarray, names: Sequence[str], default: str, seed: int = 0, most_rules: int = 12, splits: int = 12, least: float = 0.95, fewest: float = 0.01) -> list[Rule]:
     """An ordered rule list: classes from the rarest on, each by incremental reduced-error pruning.
 
-    A rule depends much on its split into growing and pruning rows, so each is grown and pruned on
-    ``splits`` of them and the one that gains most over all rows left is kept.  A class is done once no
+    A rule depends much on its split into growing and pruning rows and on its first test, so each is
+    grown and pruned on ``splits`` of them, all but the first with a random half of the features, and the
+    one that gains most over all rows left is kept.  A class is done once no
     rule is right in ``least`` of the rows it covers and finds ``fewest`` of the class: rules for a
     handful of rows do not carry over to other texts.  Rows with missing values are left out.  No rows, or one class only, give no rules.
     """
@@ -82,11 +83,12 @@ def induce(x: np.ndarray, labels: np.ndarray, names: Sequence[str], default: str
             if y.sum() < 3:  # nothing is left to learn from
                 break
             base, best, gain = np.log2(y.mean()), None, 0.0
-            for _ in range(splits):
+            for number in range(splits):
+                some = np.arange(x.shape[1]) if number == 0 else np.sort(rng.permutation(x.shape[1])[: (x.shape[1] + 1) // 2])
                 mixed = rng.permutation(len(rows))
                 cut = 2 * len(rows) // 3
                 grow, prune = rows[mixed[:cut]], rows[mixed[cut:]]
-                tests = _prune(x[prune], labels[prune] == c, _grow(x[grow], labels[grow] == c))
+                tests = _prune(x[prune], labels[prune] == c, _grow(x[grow], labels[grow] == c, some.tolist()))
                 hit = _covers(x[rows], tests)
                 p, n = (hit & y).sum(), (hit & ~y).sum()
                 if tests and p >= max(3, fewest * (labels == c).sum()) and p >= least * (p + n) and p * (np.log2((p + 1) / (p + 2 * n + 2)) - base) > gain:  # a wrong row weighs twice

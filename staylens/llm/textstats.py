@@ -46,7 +46,7 @@ _TOP = 0x30000
 #: What a text's statistics are called, in order.
 STATISTICS = (
     "n_chars", "n_words", "n_lines", "n_segments", "n_rows", "mean_word_len", "symbol_ratio", "odd_symbol_ratio", "digit_ratio", "emoji_ratio", "end_punct_share", "item_line_share", "common_ratio",
-    "bare_segment_share", "mean_segment_len", "longest_segment", "pair_row_share", "broken_ratio", "markup_ratio", "repeat_ratio", "distinct_word_ratio", "longest_token", "case_switch_ratio", "vowel_ratio", "rare_ratio", "sentence_marks",
+    "bare_segment_share", "mean_segment_len", "longest_segment", "pair_row_share", "valued_row_share", "mean_line_len", "broken_ratio", "markup_ratio", "repeat_ratio", "distinct_word_ratio", "longest_token", "case_switch_ratio", "vowel_ratio", "rare_ratio", "sentence_marks",
 )
 _LONGEST_PERIOD = 12  #: repetitions of up to this many characters are seen
 
@@ -205,7 +205,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     words = np.maximum(n_words, 1)
     out["n_chars"], out["n_words"] = size, n_words
     out["mean_word_len"] = per_row(letter) / words
-    for name, bit in (("symbol_ratio", "symbol"), ("odd_symbol_ratio", "odd"), ("digit_ratio", "digit"), ("emoji_ratio", "emoji"), ("rare_ratio", "rare")):
+    for name, bit in (("symbol_ratio", "symbol"), ("odd_symbol_ratio", "odd"), ("emoji_ratio", "emoji"), ("rare_ratio", "rare")):
         out[name] = per_row(has(bit)) / safe
     function = has("function")
     out["common_ratio"] = (per_row(function) + np.bincount(token_row[common_word], minlength=n)) / words
@@ -226,7 +226,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     if len(text_end):
         ends[line[text_end]] = has("terminator")[text_end]  # the last one of a line wins
     out["end_punct_share"] = np.bincount(line_row[ends], minlength=n) / lines
-    out["item_line_share"] = np.bincount(line_row[_is_item(cps, cls, rows, first)], minlength=n) / lines
+    item = _is_item(cps, cls, rows, first)
+    out["item_line_share"] = np.bincount(line_row[item], minlength=n) / lines
+    out["mean_line_len"] = size / lines
+    digits = has("digit")
+    number = np.zeros(len(cps), bool)  # the number of an item is none of its figures
+    for k in range(3):
+        at = first[item] + k
+        number[at[(at < len(cps)) & digits[np.minimum(at, len(cps) - 1)]]] = True
+    out["digit_ratio"] = per_row(digits & ~number) / safe
     # segments, between the marks that separate parts of a sentence or of a list
     wide = np.zeros(len(cps), bool)
     if len(cps) > 2:
@@ -273,9 +281,11 @@ def statistics(column: pa.Array) -> np.ndarray:
     # a heading row has no values of its own
     valued = np.bincount(vr_row[(count(has("digit")) > 0) & (commas >= 2)], minlength=n)[vr_row] > 0
     is_pair = (spoken_marks == 0) & (vr_len <= 24 * fields) & ((joints > 0) & (joints >= commas) | (commas >= 2) & valued & (vr_len <= 14 * fields))
+    has_value = is_pair & (count(digits & ~number) > 0)
     n_rows = np.bincount(vr_row, minlength=n).astype(float)
     out["n_rows"] = n_rows
     out["pair_row_share"] = np.bincount(vr_row[is_pair], minlength=n) / np.maximum(n_rows, 1)
+    out["valued_row_share"] = np.bincount(vr_row[has_value], minlength=n) / np.maximum(n_rows, 1)
     # junk
     out["case_switch_ratio"] = _switches(cls, rows, n) / safe
     latin = per_row(has("upper") | has("lower"))
@@ -394,7 +404,7 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Ite
         at = end
 
 
-_LEARNED: dict[tuple[int, int, int], tuple[Rule, ...]] = {}
+_LEARNED: dict[tuple[int, int], tuple[Rule, ...]] = {}
 
 
 def kinds(rules: tuple[Rule, ...], x: np.ndarray) -> np.ndarray:
@@ -410,26 +420,19 @@ def kinds(rules: tuple[Rule, ...], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def learned_rules(sample: int = 14_000, tries: int = 3, seed: int = 11) -> tuple[Rule, ...]:
-    """The ordered rule list, induced from ``sample`` labelled documents (the bound of what it is fitted on); kept for each process.
-
-    A list depends on chance, so ``tries`` are induced from three quarters of the rows and the one with
-    the fewest errors on the others is taken.
-    """
-    key = (sample, tries, seed)
+def learned_rules(sample: int = 14_000, seed: int = 11) -> tuple[Rule, ...]:
+    """The ordered rule list, induced from ``sample`` labelled documents (the bound of what it is fitted on); kept for each process."""
+    key = (sample, seed)
     if key not in _LEARNED:
         rows = labelled.documents(sample, seed)
         x = np.concatenate([statistics(pa.array([t for _, t in rows[i : i + 2000]], pa.string())) for i in range(0, len(rows), 2000)])
-        y, cut = np.array([k for k, _ in rows]), 3 * sample // 4
-        lists = [tuple(induce(x[:cut], y[:cut], list(STATISTICS), default="prose", seed=seed + i)) for i in range(tries)]
-        errors = [int(((kinds(rules, x[cut:]) == "prose") != (y[cut:] == "prose")).sum()) for rules in lists]
-        _LEARNED[key] = lists[int(np.argmin(errors))]
+        _LEARNED[key] = tuple(induce(x, np.array([k for k, _ in rows]), list(STATISTICS), default="prose", seed=seed))
     return _LEARNED[key]
 
 
-def text_kind(sample: int = 14_000, tries: int = 3, seed: int = 11) -> Column:
+def text_kind(sample: int = 14_000, seed: int = 11) -> Column:
     """``list``, ``table``, ``junk`` or ``prose`` as a SQL CASE over the statistics, exported from the rule list."""
-    return F.expr(to_case(learned_rules(sample, tries, seed), "prose"))
+    return F.expr(to_case(learned_rules(sample, seed), "prose"))
 
 
 def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "comment") -> DataFrame:
