@@ -6,8 +6,11 @@ covers the whole batch; no Python string is made per row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def codepoints(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,3 +48,17 @@ def to_arrow(cps: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = No
 def row_ids(offsets: np.ndarray) -> np.ndarray:
     """For each code point the number of its row."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def slices(batch: pa.RecordBatch, columns: list[int], rows: int = 4000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows whose texts have about ``size`` bytes; a longer text is a slice of its own.
+
+    What is worked on at a time is so bounded, however long the texts of a batch are.
+    """
+    total = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0)).astype(np.int64) for c in columns))
+    at = 0
+    while at < len(batch):
+        done = int(total[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, done + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end

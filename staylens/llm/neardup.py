@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrowtext import codepoints, row_ids, to_arrow
+from .arrowtext import codepoints, row_ids, slices, to_arrow
 from .normalize import normalize_codepoints, real_text
 
 BANDS, ROWS = 36, 5  #: a pair at exactly 0.7 shares a band with probability 1 - (1 - 0.7**5)**36 = 0.9987, at 0.75 with 0.99994
@@ -37,17 +36,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, columns: list[int], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most ``rows`` rows whose texts have about ``size`` bytes; at least one row each."""
-    total = np.cumsum(sum(np.asarray(pc.binary_length(batch.column(c)).fill_null(0)).astype(np.int64) for c in columns))
-    at = 0
-    while at < len(batch):
-        done = int(total[at - 1]) if at else 0
-        end = min(at + rows, max(at + 1, int(np.searchsorted(total, done + size, side="right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _shingle_keys(cps: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of the runs of ``k <= 3`` code points of each row: the key holds the code points themselves."""
     rows = row_ids(offsets)
@@ -134,12 +122,13 @@ def text_classes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cps, offsets = normalize_codepoints(*codepoints(b.column(1))[:2])
-            rows = row_ids(offsets)
-            stay = ~np.isin(cps, _BLANKS)
-            cps, offsets = cps[stay], np.searchsorted(rows[stay], np.arange(len(offsets)))
-            keep = pa.array(np.diff(offsets) >= min_chars)
-            yield pa.RecordBatch.from_arrays([b.column(0), to_arrow(cps, offsets)], names=["doc_id", "form"]).filter(keep)
+            for part in slices(b, [1]):
+                cps, offsets = normalize_codepoints(*codepoints(part.column(1))[:2])
+                rows = row_ids(offsets)
+                stay = ~np.isin(cps, _BLANKS)
+                cps, offsets = cps[stay], np.searchsorted(rows[stay], np.arange(len(offsets)))
+                keep = pa.array(np.diff(offsets) >= min_chars)
+                yield pa.RecordBatch.from_arrays([part.column(0), to_arrow(cps, offsets)], names=["doc_id", "form"]).filter(keep)
 
     kind = df.schema[id_col].dataType.simpleString()
     forms = one.mapInArrow(run, f"doc_id {kind}, form string")
@@ -171,7 +160,7 @@ def _signed(classes: DataFrame, bands: int, rows: int, k: int, max_bucket: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, sizes, held = [], [], [], 0
         for b in batches:
-            for part in slices(b, [1]):
+            for part in slices(b, [1], SLICE_ROWS, SLICE_BYTES):
                 cps, offsets, _ = codepoints(part.column(1))
                 r, h = shingle_sets(cps, offsets, k)
                 ids.append(part.column(0))
@@ -220,7 +209,7 @@ def _tokens(classes: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, [1]):
+            for part in slices(b, [1], SLICE_ROWS, SLICE_BYTES):
                 cps, offsets, _ = codepoints(part.column(1))
                 r, h = _shingle_keys(cps, offsets, k)
                 order = np.lexsort((h, r))

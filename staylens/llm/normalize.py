@@ -21,17 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .arrowtext import codepoints, row_ids, to_arrow
+from ..session import checkpointed
+from .arrowtext import codepoints, row_ids, slices, to_arrow
 
 _TOP = 0x30000  #: above it only the tag and variation planes change, and they vanish
 
-#: Letters of other scripts that are drawn like a Latin letter.
+#: Letters of other scripts (Greek, Cyrillic, Armenian, Cherokee, Lisu, Coptic) and phonetic letters whose
+#: usual glyph is that of a Latin letter.  A letter that only resembles one (κ/k, ρ/p, п/n, ı/i, and I/l, 0/O inside one
+#: script) is left out: a reader can tell them apart.
 _ALIKE = {
-    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СᏟꓚϹ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝϜ", "G": "Ԍꓖ", "H": "ΗНᎻꓧ",
-    "I": "ΙІӀ", "J": "ЈᎫꓙ", "K": "ΚКᏦꓗ", "L": "Ꮮꓡ", "M": "ΜМᎷꓟ", "N": "Νꓠ", "O": "ΟОՕꓳ", "P": "ΡРᏢꓑ",
-    "Q": "Ԛ", "R": "ꓣ", "S": "ЅՏꓢ", "T": "ΤТᎢꓔ", "U": "Սꓴ", "V": "ᏙꓦѴ", "W": "ᎳꓪԜ", "X": "ΧХꓫ",
-    "Y": "ΥҮꓬУ", "Z": "ΖᏃꓜ", "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "h": "һ", "i": "і", "j": "јϳ", "o": "οоօ",
-    "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у", "-": "‐", "’": "ʼ",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐⲂ", "C": "СᏟꓚϹⲤ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "ꓝϜ", "G": "ԌꓖᏀ", "H": "ΗНᎻꓧⲎ",
+    "I": "ΙІӀⲒ", "J": "ЈᎫꓙ", "K": "ΚКᏦꓗⲔ", "L": "Ꮮꓡ", "M": "ΜМᎷꓟⲘ", "N": "ΝꓠⲚ", "O": "ΟОՕꓳⲞ", "P": "ΡРᏢꓑⲢ",
+    "Q": "Ԛ", "R": "ꓣᎡ", "S": "ЅՏꓢᏚ", "T": "ΤТᎢꓔⲦ", "U": "Սꓴ", "V": "ᏙꓦѴ", "W": "ᎳꓪԜ", "X": "ΧХꓫⲬ",
+    "Y": "ΥҮꓬУⲨ", "Z": "ΖᏃꓜ", "a": "а", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ",
+    "n": "ո", "o": "οоօⲟ", "p": "рⲣ", "q": "ԛ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у", "-": "‐", "’": "ʼ",
 }
 #: Kana drawn like a Han character (or hiragana); the neighbours decide which form is kept.
 _KANA = {"エ": "工", "ニ": "二", "ロ": "口", "カ": "力", "タ": "夕", "ハ": "八", "ト": "卜", "ヘ": "へ", "ベ": "べ", "ペ": "ぺ"}
@@ -225,7 +228,8 @@ def with_normal_form(df: DataFrame, column: str, to: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, normalize_arrow(b.column(at))], names=[*b.schema.names, to])
+            for part in slices(b, [at]):
+                yield pa.RecordBatch.from_arrays([*part.columns, normalize_arrow(part.column(at))], names=[*part.schema.names, to])
 
     return df.mapInArrow(run, schema)
 
@@ -235,31 +239,32 @@ def real_text(c: Column) -> Column:
     return c.isNotNull() & (F.length(F.trim(c)) > 0) & (c != "nan")
 
 
-def same_look_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, raw, form) of every record once, for texts whose form is shared by unequal strings.
+def keyed_forms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, k1, k2, s1, s2) of every record once: 128-bit keys of its consistent form and of its spelling.
 
     Repeated rows of an id count once (the texts of an id are equal; were they not, the smallest is
-    taken).  Null, empty and ``nan`` texts take no part.
+    taken).  Null, empty and ``nan`` texts take no part.  No text travels beyond this.
     """
     one = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("raw")).where(real_text(F.col("raw")) & F.col("doc_id").isNotNull())
     one = with_normal_form(one.groupBy("doc_id").agg(F.min("raw").alias("raw")), "raw", "form")
-    return one
+    key = lambda c, n: F.xxhash64(c, F.lit(n))
+    return one.select("doc_id", key("form", 1).alias("k1"), key("form", 2).alias("k2"), key("raw", 1).alias("s1"), key("raw", 2).alias("s2"))
 
 
 def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "comment") -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of records with unequal strings and the same consistent form.
 
-    Works on classes of equal strings: a form with one spelling is dropped by a pre-aggregated
-    min/max, spellings of a form are paired, then members are attached.  A form shared by many
-    records in one spelling costs nothing; skewed members are split by adaptive execution.
+    Forms with one spelling, however many records share it, are dropped by a pre-aggregated minimum and
+    maximum; the spellings of each other form are paired, and only then are the records of either
+    spelling attached, so no two records of one spelling ever meet.
     """
-    rows = same_look_classes(df, id_col, text_col).persist()
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    members = rows.join(mixed, "form", "left_semi")
-    spell = members.select("form", "raw").distinct()
-    a, b = spell.select("form", F.col("raw").alias("raw_a")), spell.select("form", F.col("raw").alias("raw_b"))
-    both = a.join(b, "form").where("raw_a < raw_b")
-    left = members.select(F.col("doc_id").alias("x"), F.col("raw").alias("raw_a"))
-    right = members.select(F.col("doc_id").alias("y"), F.col("raw").alias("raw_b"))
-    found = both.select("raw_a", "raw_b").join(left, "raw_a").join(right, "raw_b")
-    return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+    rows = checkpointed(keyed_forms(df, id_col, text_col))
+    span = rows.groupBy("k1", "k2").agg(*[f(c).alias(f"{n}_{c}") for c in ("s1", "s2") for n, f in (("lo", F.min), ("hi", F.max))])
+    mixed = span.where("lo_s1 <> hi_s1 or lo_s2 <> hi_s2").select("k1", "k2")
+    members = checkpointed(rows.join(mixed, ["k1", "k2"], "left_semi"))
+    spellings = members.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("s1", "s2"))).alias("g"))
+    pairs = spellings.select("k1", "k2", F.posexplode("g").alias("i", "x"), "g").select("k1", "k2", "x", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("y"))
+    pairs = pairs.select("k1", "k2", F.col("x.s1").alias("s1"), F.col("x.s2").alias("s2"), "y")
+    left = pairs.join(members.withColumnRenamed("doc_id", "a"), ["k1", "k2", "s1", "s2"]).select("a", "k1", "k2", F.col("y.s1").alias("s1"), F.col("y.s2").alias("s2"))
+    found = left.join(members.withColumnRenamed("doc_id", "b"), ["k1", "k2", "s1", "s2"])
+    return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))

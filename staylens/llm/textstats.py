@@ -15,13 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
-from .arrowtext import codepoints, row_ids
+from .arrowtext import codepoints, row_ids, slices
 from .neardup import _mix
 from .normalize import normalize_codepoints, real_text
 from .rules import Rule, induce, to_case
@@ -383,7 +382,7 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, b.num_columns - 1):
+            for part in slices(b, [b.num_columns - 1]):
                 column = part.column(part.num_columns - 1)
                 gone = np.asarray(column.is_null())
                 made = [pa.array(x, mask=gone) for x in statistics(column).T]
@@ -392,18 +391,6 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts hold about ``most_bytes`` at most; a longer text is a slice of its own."""
-    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
-    total = np.cumsum(sizes)
-    at = 0
-    while at < len(batch):
-        done = total[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(total, done + most_bytes, side="right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 _LEARNED: dict[tuple[int, int], tuple[Rule, ...]] = {}
 
 

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from staylens.llm.arrowtext import codepoints
-from staylens.llm.neardup import _prefix_pairs, components, jaccard, near_duplicate_groups, near_duplicate_pairs, shingle_sets, similar_classes, slices, superminhash
+from staylens.llm.arrowtext import codepoints, slices
+from staylens.llm.neardup import _prefix_pairs, components, jaccard, near_duplicate_groups, near_duplicate_pairs, shingle_sets, similar_classes, superminhash
 from staylens.llm.normalize import normalize_arrow
 
 
@@ -128,7 +128,7 @@ def test_jaccard():
 def test_very_long_texts_are_worked_on_one_at_a_time():
     rnd = random.Random(3)
     texts = ["".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(30_000)) for _ in range(12)] + ["短"] * 9
-    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), [0]))
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), [0], 1000, 300_000))
     assert [len(p) for p in parts] == [3, 3, 3, 12] and sum(map(len, parts)) == 21
     tracemalloc.start()
     for p in parts:

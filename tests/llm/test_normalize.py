@@ -13,8 +13,9 @@ SAME = [
     ("ＷｉＦｉ　１２", "WiFi 12"), ("café", "café"), ("が", "が"), ("ガ", "ｶﾞ"), ("SPА", "SPA"), ("oﬃce", "office"), ("a​b﻿c", "abc"), ("a b", "a b"), ("a b", "a b"),
     ("⼯作", "工作"), ("施エ中", "施工中"), ("门ロ", "门口"), ("ニ楼", "二楼"), ("了了"[1:], "了"), ("check‑in", "check-in"), ("a\r\nb", "a\nb"), ("한국", "한국"), ("ﾛﾋﾞｰ", "ロビー"),
     ("q̣̇", "q̣̇"), ("ế", "ế"), ("·", "·"), ("｡", "。"), ("（a）", "(a)"), ("Ⅳ", "IV"), ("カ月", "力月"),
+    ("ɡood", "good"), ("ᏚPA", "SPA"), ("νilla", "villa"), ("heӏlo", "hello"), ("Ⲟslo", "Oslo"), ("bսs", "bus"),
 ]
-OTHER = [("a", "A"), ("cafe", "café"), ("，", "、"), ("。", "."), ("m²", "m2"), ("①", "1"), ("l", "1"), ("O", "0"), ("未", "末"), ("'", "’"), ("½", "1/2"), ("…", "..."), ("a b", "ab"), ("–", "-"), ("ſ", "s")]
+OTHER = [("a", "A"), ("cafe", "café"), ("，", "、"), ("。", "."), ("m²", "m2"), ("①", "1"), ("l", "1"), ("O", "0"), ("未", "末"), ("'", "’"), ("½", "1/2"), ("…", "..."), ("a b", "ab"), ("–", "-"), ("ſ", "s"), ("κ", "k"), ("ı", "i"), ("selIs", "sells")]
 
 
 def form(t):

@@ -2,8 +2,9 @@ import numpy as np
 import pyarrow as pa
 
 from staylens.llm import labelled
+from staylens.llm.arrowtext import slices
 from staylens.llm.rules import induce, to_case
-from staylens.llm.textstats import STATISTICS, classified, kinds, learned_rules, slices, statistics, text_kind, with_statistics
+from staylens.llm.textstats import STATISTICS, classified, kinds, learned_rules, statistics, text_kind, with_statistics
 
 
 def of(text):
@@ -38,7 +39,7 @@ def test_rows_do_not_touch():
     together = statistics(pa.array(texts, pa.string()))
     assert (together == np.concatenate([statistics(pa.array([t], pa.string())) for t in texts])).all()
     batch = pa.RecordBatch.from_arrays([pa.array(["ab" * 400, None, "c", "d" * 900])], names=["t"])
-    assert [len(p) for p in slices(batch, 0, 1000)] == [3, 1] and [len(p) for p in slices(batch, 0, 1)] == [1, 2, 1]
+    assert [len(p) for p in slices(batch, [0], size=1000)] == [3, 1] and [len(p) for p in slices(batch, [0], size=1)] == [1, 2, 1]
 
 
 def test_accuracy_on_other_rows():
