@@ -34,6 +34,8 @@ def pack_items(sizes: Sequence[int], capacity: int) -> list[int]:
     split = bisect_right([sizes[i] for i in order], capacity // 3)
     large, small = order[split:], order[:split]
     large_sizes = [sizes[i] for i in large]
+    # the greatest large item at or below a place that is still free: places taken point on to the one before
+    free = list(range(len(large)))
     gaps: list[int] = []  # distinct free sizes, sorted
     open_at: dict[int, list[int]] = {}
 
@@ -43,17 +45,29 @@ def pack_items(sizes: Sequence[int], capacity: int) -> list[int]:
             insort(gaps, gap)
         open_at[gap].append(container)
 
+    def last_free(k: int) -> int:
+        seen = []
+        while k >= 0 and free[k] != k:
+            seen.append(k)
+            k = free[k]
+        for j in seen:
+            free[j] = k
+        return k
+
     used = 0
-    while large:
-        first, size = large.pop(), large_sizes.pop()
-        where[first] = used
-        gap = capacity - size
-        k = bisect_right(large_sizes, gap) - 1
+    top = last_free(len(large) - 1)
+    while top >= 0:
+        where[large[top]] = used
+        free[top] = top - 1
+        gap = capacity - large_sizes[top]
+        k = last_free(min(top - 1, bisect_right(large_sizes, gap) - 1))
         if k >= 0:
-            where[large.pop(k)] = used
-            gap -= large_sizes.pop(k)
+            where[large[k]] = used
+            free[k] = k - 1
+            gap -= large_sizes[k]
         leave(used, gap)
         used += 1
+        top = last_free(top - 1)
     for i in reversed(small):
         size = sizes[i]
         k = bisect_left(gaps, size)

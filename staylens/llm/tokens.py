@@ -1,4 +1,8 @@
-"""Token counts by a public tokenizer; the vocabulary file stays where it is installed."""
+"""Token counts by a public tokenizer; the vocabulary file stays where it is installed.
+
+The vocabulary comes from the installed package ``public_tokenizers``, or from any ranks file whose path
+is given; only the former needs the package, whose word pattern is used where it is there.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,10 @@ from functools import lru_cache
 from pyspark.sql import SparkSession
 
 
+#: Words, figures, signs and blanks, where no pattern comes with the vocabulary.
+WORDS = r"\s?\p{L}+|\s?\p{N}{1,3}|\s?[^\s\p{L}\p{N}]+|\s+"
+
+
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     """Path of an installed vocabulary file; every operator takes another path as a parameter."""
     import public_tokenizers
@@ -18,12 +26,15 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 @lru_cache(2)
 def encoding(path: str):  # noqa: ANN201
     """The byte-level encoder of a ranks file, loaded once per worker process."""
-    import public_tokenizers
     import tiktoken
 
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError:
+        PATTERN = WORDS
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(texts: list[str | None], path: str) -> list[int]:

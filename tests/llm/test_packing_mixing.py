@@ -95,3 +95,27 @@ def test_mixture(spark, docs):
     assert max(per.values()) == 1
     assert mixture(docs.where("false"), targets).count() == 0 == mixture(docs, targets.where("false")).count()
     assert len(mixture_shares(docs.where("false"), targets).collect()) == 4
+
+
+def test_means_beyond_five_hundred():
+    for rate, most in ((600, 700), (900, 1000), (0.001, 5), (999, 1000)):
+        assert capped_mean(mean_for(rate, most), most) == pytest.approx(rate, rel=1e-6)
+    assert capped_mean(mean_for(1000, 1000), 1000) == pytest.approx(1000, rel=1e-5)
+    assert poisson_cdf(0, 2) == (1.0, 1.0) and poisson_cdf(3, 0) == ()
+    assert poisson_cdf(2.0, 3) == pytest.approx((math.exp(-2), 3 * math.exp(-2), 5 * math.exp(-2)))
+
+
+def test_a_source_repeated_a_thousand_times(spark):
+    docs = spark.createDataFrame([(i, "room bed", "small") for i in range(40)] + [(i, "room bed noisy", "big") for i in range(40, 20_000)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("small", 0.5, 1000), ("big", 0.5, 1)], "source string, target_weight double, max_repeats int")
+    out = {r["source"]: r for r in mixture_shares(docs, targets).collect()}
+    assert out["small"]["mean_repeats"] > 512 and out["small"]["most_repeats"] <= 1000
+    assert out["small"]["actual_share"] == pytest.approx(0.5, abs=0.01)
+    with pytest.raises(ValueError):
+        mixture_shares(docs, spark.createDataFrame([("small", 1.0, 2_000_000)], targets.schema)).count()
+
+
+def test_the_share_that_is_filled_is_an_argument(spark, docs):
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_weight double, max_repeats int")
+    some, all_ = (sum(r["n_tokens"] for r in mixture_shares(docs, targets, fill=f).collect()) for f in (0.4, 0.8))
+    assert all_ / some == pytest.approx(2, rel=0.1)
