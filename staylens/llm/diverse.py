@@ -1,6 +1,6 @@
 """Problem 5: subsets that show the variety of the texts.
 
-Equal texts count once.  Hashed character features of all texts are clustered by distributed k-means; each request
+Equal texts count once.  Hashed character features of all texts are clustered by distributed mini-batch k-means; each request
 shares its places over the clusters by the square root of their sizes, places a cluster cannot fill go
 to the others, and members are drawn by a hash within their quotas.
 """
@@ -16,19 +16,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .arrowtext import codepoints, row_ids
+from .arrowtext import codepoints, row_ids, slices
 from .neardup import _mix
-from .normalize import real_text, with_normal_form
+from .normalize import normalize_codepoints, real_text
 
-DIM, CLUSTERS, BATCH = 128, 64, 1024
+DIM, CLUSTERS = 128, 64
 NEAR = 0.9  #: squared distance of unit vectors: a cosine of 0.55
-SEED_ROUNDS, ROUNDS = 6, 8  #: passes over all texts that propose seeds, and that move the centres
+SEED_ROUNDS, ROUNDS = 4, 5  #: passes over all texts that propose seeds, and batches they are cut into that move the centres
+SALTS = 32  #: parts of a cluster that are ranked on their own
 GRID = 32767  #: vectors are kept as 16-bit integers, so sums are exact and do not depend on their order
 
 
-def features(column: pa.Array, dim: int = DIM) -> np.ndarray:
-    """Unit vectors (n, dim) of signed hashed character pairs and triples, counts damped by a square root."""
-    cps, offsets, _ = codepoints(column)
+def features(cps: np.ndarray, offsets: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """Unit vectors (n, dim) of signed hashed character pairs and triples of each row, counts damped by a square root."""
     n, rows = len(offsets) - 1, row_ids(offsets)
     out = np.zeros(n * dim)
     for k in (2, 3):
@@ -46,26 +46,21 @@ def features(column: pa.Array, dim: int = DIM) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def minibatch_kmeans(x: np.ndarray, k: int, batch: int = BATCH, seed: int = 5) -> np.ndarray:
-    """Centres (<= k, dim) by mini-batch k-means: seeded far points, then per-centre learning rates over the batches.
+def text_keys(cps: np.ndarray, offsets: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each row of code points."""
+    out = np.zeros(len(offsets), np.uint64)
+    with np.errstate(over="ignore"):
+        place = np.arange(len(cps)) - np.repeat(offsets[:-1], np.diff(offsets))
+        out[1:] = np.cumsum(_mix(_mix(cps.astype(np.uint64) + np.uint64(seed << 32)) + place.astype(np.uint64)))[offsets[1:] - 1] if len(cps) else 0
+        out[np.append(False, offsets[1:] == 0)] = 0
+        return _mix(np.diff(out) + np.diff(offsets).astype(np.uint64) + np.uint64(seed)).view(np.int64)
 
-    No point within ``NEAR`` of a centre seeds another, so one large group of like texts is not split
-    into many clusters.
-    """
-    if not len(x):
-        return np.zeros((0, x.shape[1]))
-    rng = np.random.default_rng(seed)
-    head = x[: max(batch, 4 * k)]
-    c = far_points(head, k, np.ones(len(head)), rng)
-    seen = np.zeros(len(c))
-    for at in range(0, len(x), batch):
-        part = x[at : at + batch]
-        near = nearest(part, c)
-        for j in np.unique(near):
-            mine = part[near == j]
-            seen[j] += len(mine)
-            c[j] += (mine.mean(0) - c[j]) * len(mine) / seen[j]
-    return c
+
+def moved(c: np.ndarray, seen: np.ndarray, n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """A mini-batch step: every centre goes towards the mean of its points of the batch, by their share of all it has ``seen``, which is updated."""
+    seen += n
+    step = n / np.maximum(seen, 1)
+    return c + step[:, None] * (total / np.maximum(n, 1)[:, None] - c) * (n > 0)[:, None]
 
 
 def far_points(x: np.ndarray, k: int, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -86,10 +81,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
-    """Centres (<= k, DIM) of all points (k1, k2, v): k-means|| seeds, then k-means; only centres and their sums reach the driver.
+    """Centres (<= k, DIM) of all points (k1, k2, v): k-means|| seeds, then mini-batch k-means; only centres and their sums reach the driver.
 
     A round of seeding draws 2k points by their squared distance from those proposed so far, without
     points within ``NEAR`` of one; the proposals, weighted by the points nearest to them, are thinned to k.
+    The points are then cut by their keys into ``ROUNDS`` batches that hold all of them, and each batch
+    moves the centres once.
     """
 
     def draw(proposed: np.ndarray, number: int) -> np.ndarray:
@@ -113,8 +110,8 @@ def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
         got = points.mapInArrow(run, "wait double, k2 long, k1 long, v binary").orderBy("wait", "k2", "k1").limit(2 * k).toArrow()
         return _vectors(got["v"]) / GRID if got.num_rows else np.zeros((0, DIM))
 
-    def sums(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many points are nearest to each centre, and their sums."""
+    def sums(c: np.ndarray, points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the points are nearest to each centre, and their sums."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, total = np.zeros(len(c), np.int64), np.zeros((len(c), DIM))
@@ -144,13 +141,11 @@ def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
         if not len(more):
             break
         proposed = np.concatenate([proposed, more])
-    c = far_points(proposed, k, np.maximum(sums(proposed)[0], 1).astype(float), np.random.default_rng(seed))
-    for _ in range(ROUNDS):
-        n, total = sums(c)
-        moved = np.where(n[:, None] > 0, total / GRID / np.maximum(n, 1)[:, None], c)
-        still, c = np.allclose(moved, c, atol=1e-4), moved
-        if still:
-            break
+    c = far_points(proposed, k, np.maximum(sums(proposed, points)[0], 1).astype(float), np.random.default_rng(seed))
+    seen = np.zeros(len(c))
+    for number in range(ROUNDS):
+        n, total = sums(c, points.where(F.pmod("k2", F.lit(ROUNDS)) == number))
+        c = moved(c, seen, n, total / GRID)
     return c
 
 
@@ -188,16 +183,19 @@ def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame,
     rows; repeated category rows count once.
     """
     one = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(real_text(F.col("t")) & F.col("doc_id").isNotNull())
-    one = with_normal_form(one.groupBy("doc_id").agg(F.min("t").alias("t")), "t", "f")
-    docs = checkpointed(one.select("doc_id", "f", F.xxhash64("f").alias("k1"), F.xxhash64("f", F.lit(seed)).alias("k2")))
-    distinct = docs.groupBy("k1", "k2").agg(F.min("f").alias("f"))
+    one = one.groupBy("doc_id").agg(F.min("t").alias("t"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.round(features(b.column(2)) * GRID).astype("<i2")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in v], pa.binary())], names=["k1", "k2", "v"])
-
-    points = checkpointed(distinct.mapInArrow(vectors, "k1 long, k2 long, v binary"))
+            for part in slices(b, [1]):
+                cps, offsets = normalize_codepoints(*codepoints(part.column(1))[:2])
+                v = np.round(features(cps, offsets) * GRID).astype("<i2")
+                keys = [pa.array(text_keys(cps, offsets, seed + i)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *keys, pa.array([r.tobytes() for r in v], pa.binary())], names=["doc_id", "k1", "k2", "v"])
+
+    # no text travels beyond this: equal texts have equal keys and equal vectors
+    docs = checkpointed(one.mapInArrow(vectors, f"doc_id {texts.schema[id_col].dataType.simpleString()}, k1 long, k2 long, v binary"))
+    points = checkpointed(docs.select("k1", "k2", "v").dropDuplicates(["k1", "k2"]))
     centres = fit_centres(points, clusters, seed)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +213,13 @@ def varied_subsets(texts: DataFrame, categories: DataFrame, requests: DataFrame,
     if not ask.where("category is null").isEmpty():
         pools = pools.union(keyed.select(F.lit(None).cast("string").alias("category"), "doc_id", "k1", "k2"))
     pool = pools.groupBy("category", "k1", "k2").agg(F.min("doc_id").alias("doc_id")).join(placed, ["k1", "k2"])
-    # no cluster can give more than the largest request: the rank is cut before the rows are gathered
-    rank = Window.partitionBy("category", "cluster").orderBy("k2", "k1")
+    # no cluster can give more than the largest request: the first of each of SALTS parts are ranked, and of those the first,
+    # so a hot cluster is never sorted in one task, however large the requests are
+    place = [F.col("k2"), F.col("k1")]
     sizes = pool.groupBy("category", "cluster").agg(F.count("*").alias("n"))
-    head = pool.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= most)
+    part = pool.withColumn("part", F.pmod("k1", F.lit(SALTS)))
+    part = part.withColumn("rn", F.row_number().over(Window.partitionBy("category", "cluster", "part").orderBy(*place))).where(F.col("rn") <= most)
+    head = part.withColumn("rn", F.row_number().over(Window.partitionBy("category", "cluster").orderBy(*place))).where(F.col("rn") <= most)
     same = F.col("p.category").eqNullSafe(F.col("q.category"))
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:

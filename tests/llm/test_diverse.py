@@ -6,7 +6,8 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from staylens.llm.diverse import features, minibatch_kmeans, nearest, quotas, varied_subsets
+from staylens.llm.arrowtext import codepoints
+from staylens.llm.diverse import far_points, features, moved, nearest, quotas, text_keys, varied_subsets
 
 ASK = "request_id int, category string, subset_size int"
 
@@ -23,13 +24,24 @@ def test_quotas_hold_back_large_groups():
     assert quotas(np.array([10_000, 1, 1]), 12).tolist() == [10, 1, 1]
 
 
-def test_kmeans_finds_groups():
+def test_batches_find_groups():
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(c, 0.05, (200, 2)) for c in ((0, 0), (1, 1), (0, 1))])
-    c = minibatch_kmeans(2 * x[rng.permutation(600)], 3, batch=100)
-    assert len({tuple(np.bincount(nearest(2 * x[i : i + 200], c), minlength=3) > 190) for i in (0, 200, 400)}) == 3
-    assert len(minibatch_kmeans(x[:0], 3)) == 0
-    assert np.allclose(np.linalg.norm(features(pa.array(["早餐很好", "ab", ""])), axis=1), [1, 1, 0])
+    x = 2 * np.concatenate([rng.normal(c, 0.05, (200, 2)) for c in ((0, 0), (1, 1), (0, 1))])
+    c, mixed = far_points(x, 3, np.ones(600), rng), x[rng.permutation(600)]
+    seen = np.zeros(len(c))
+    for i in range(0, 600, 100):
+        near = nearest(mixed[i : i + 100], c)
+        c = moved(c, seen, np.bincount(near, minlength=3), np.stack([mixed[i : i + 100][near == j].sum(0) for j in range(3)]))
+    assert len({tuple(np.bincount(nearest(x[i : i + 200], c), minlength=3) > 190) for i in (0, 200, 400)}) == 3 and seen.sum() == 600
+    assert np.allclose(c[nearest(np.array([[0.0, 0], [2, 2], [0, 2]]), c)], [[0, 0], [2, 2], [0, 2]], atol=0.1)
+
+
+def test_keys_and_features():
+    texts = ["早餐很好", "ab", "", "ab", "ba", "", "早餐很好"]
+    k = text_keys(*codepoints(pa.array(texts))[:2], 5)
+    assert len(set(k.tolist())) == 4 and k[1] == k[3] and k[2] == k[5] and k[0] == k[6] and k[0] != text_keys(*codepoints(pa.array(texts))[:2], 6)[0]
+    assert k[1] == text_keys(*codepoints(pa.array(["ab"]))[:2], 5)[0]
+    assert np.allclose(np.linalg.norm(features(*codepoints(pa.array(["早餐很好", "ab", ""]))[:2]), axis=1), [1, 1, 0])
 
 
 def test_subsets(spark):
