@@ -38,6 +38,10 @@ def latin_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t.rlike(r"^[一-鿿a-z]+$"))
 
 
+#: The tokenizers by the name under which an index keeps its own.
+TOKENIZERS: dict[str, Tokenizer] = {f.__name__: f for f in (mixed_tokens, cjk_tokens, latin_tokens)}
+
+
 def strip_fences(c: Column) -> Column:
     """Markdown code fences and surrounding white space removed."""
     return F.regexp_replace(F.regexp_replace(c, r"```(?:json)?\s*", ""), r"(?U)^\s+|\s+$", "")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import bm25_term, idf
-from ..functions.text import Tokenizer, mixed_tokens
+from ..functions.text import TOKENIZERS, Tokenizer, mixed_tokens
+from ..session import checkpointed
 from ..sources.tables import exists, open_store
 
 
@@ -40,9 +41,20 @@ def tokens_of(df: DataFrame, key: list[str], text: str, stop_words: DataFrame |
     return out.join(stop_words.select(F.lower("word").alias("term")).distinct(), "term", "left_anti").select(*key, "term")
 
 
+BUCKETS = 64  #: parts of a saved index by the hash of the term; a search reads those of its terms
+
+
+def _bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Bm25Index:
-    """Postings (term, doc_id, tf), document lengths (doc_id, dl) and one row of corpus figures (n, avgdl)."""
+    """Postings (term, doc_id, tf, segment), document lengths (doc_id, dl, segment) and one row of corpus figures (n, avgdl).
+
+    A document's length names the segment that holds its postings; postings of older segments are out
+    of date and drop out of every join with the lengths.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -51,9 +63,10 @@ class Bm25Index:
     stop_words: DataFrame | list[str] | None = None
     k1: float = 1.5
     b: float = 0.75
+    bucketed: bool = False
 
     @classmethod
-    def build(cls, docs: DataFrame, doc_id: str, text: str, stop_words: DataFrame | None = None, tokenizer: Tokenizer = mixed_tokens, k1: float = 1.5, b: float = 0.75) -> Bm25Index:
+    def build(cls, docs: DataFrame, doc_id: str, text: str, stop_words: DataFrame | None = None, tokenizer: Tokenizer = mixed_tokens, k1: float = 1.5, b: float = 0.75, segment: int = 0) -> Bm25Index:
         """Index of one row a document; documents without tokens count in ``n`` and ``avgdl``."""
         docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         stop_words = short_list(stop_words)
@@ -65,7 +78,8 @@ class Bm25Index:
         else:
             dl = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
             lengths = docs.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
-        return cls(postings, lengths, cls.figures(lengths), tokenizer, stop_words, k1, b)
+        number = F.lit(segment).alias("segment")
+        return cls(postings.select("*", number), lengths.select("*", number), cls.figures(lengths), tokenizer, stop_words, k1, b)
 
     @staticmethod
     def figures(lengths: DataFrame) -> DataFrame:
@@ -77,38 +91,64 @@ class Bm25Index:
     def search(self, queries: DataFrame, query_id: list[str], text: str, topk: int = 150, digits: int = 6) -> DataFrame:
         """(query_id…, doc_id, score, rank) of the best documents; a token repeated in a query counts each time.
 
-        Only postings of query terms are read on; ties go to the smaller id.  A query without tokens has no rows.
+        Of a saved index only the buckets of the asked terms are read; ties go to the smaller id.  A query
+        without tokens has no rows.
         """
         asked = tokens_of(queries, query_id, text, self.stop_words, self.tokenizer).groupBy(*query_id, "term").agg(F.count("*").alias("qtf"))
         terms = asked.select("term").distinct()
-        # one pass over the postings: those of asked terms, with their document frequency
-        hits = self.postings.join(terms, "term", "left_semi")
+        postings = self.postings
+        if self.bucketed:  # at most BUCKETS numbers, which prune the folders that are read
+            postings = postings.where(F.col("bucket").isin([r[0] for r in terms.select(_bucket().alias("bucket")).distinct().collect()]))
+        hits = postings.join(terms, "term", "left_semi").join(self.lengths, ["doc_id", "segment"])
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         figures = self.stats.first()
         n, avgdl = (figures["n"], figures["avgdl"]) if figures else (0, 0.0)
         weighted = asked.join(df, "term").withColumn("idf", idf(F.lit(float(n)), F.col("df")))
-        scored = hits.join(weighted, "term").join(self.lengths, "doc_id")
         one = F.col("qtf") * bm25_term(F.col("tf"), F.col("dl"), F.lit(float(avgdl)), F.col("idf"), self.k1, self.b)
-        total = scored.groupBy(*query_id, "doc_id").agg(F.round(F.sum(one), digits).alias("score"))
+        total = hits.join(weighted, "term").groupBy(*query_id, "doc_id").agg(F.round(F.sum(one), digits).alias("score"))
         w = Window.partitionBy(*query_id).orderBy(F.col("score").desc(), "doc_id")
         return total.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= topk)
 
     def save(self, path: str) -> None:
-        """Three tables; postings lie sorted by term, so a search reads few row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Three tables and the settings; postings lie in folders by the hash of the term, sorted by term."""
+        self._write_postings(path, "overwrite")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.stats.withColumn("k1", F.lit(self.k1)).withColumn("b", F.lit(self.b)).write.mode("overwrite").parquet(f"{path}/stats")
         if self.stop_words:
             words = self.stop_words
             words = self.stats.sparkSession.createDataFrame([(w,) for w in words], "word string") if isinstance(words, list) else words
             words.select("word").write.mode("overwrite").parquet(f"{path}/stop_words")
+        self._write_stats(path, self.figures(self.stats.sparkSession.read.parquet(f"{path}/lengths")))
+
+    def _write_postings(self, path: str, mode: str) -> None:
+        rows = self.postings.select("term", "doc_id", "tf", "segment", _bucket().alias("bucket"))
+        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+
+    def _write_stats(self, path: str, stats: DataFrame) -> None:
+        name = next((k for k, f in TOKENIZERS.items() if f is self.tokenizer), None)
+        settings = {"k1": F.lit(self.k1), "b": F.lit(self.b), "tokenizer": F.lit(name).cast("string")}
+        stats.withColumns(settings).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer = mixed_tokens) -> Bm25Index:
-        stats = open_store(spark, f"{path}/stats")
-        params = stats.first()
+    def load(cls, spark: SparkSession, path: str, tokenizer: Tokenizer | None = None) -> Bm25Index:
+        """A saved index with the tokenizer it was built with; one that is not in ``TOKENIZERS`` must be given again (ValueError)."""
+        params = open_store(spark, f"{path}/stats").first()
+        if tokenizer is None and params["tokenizer"] not in TOKENIZERS:
+            raise ValueError("the index was built with a tokenizer of its own, which must be given")
         stop = short_list(spark.read.parquet(f"{path}/stop_words")) if exists(spark, f"{path}/stop_words") else None
-        return cls(open_store(spark, f"{path}/postings"), open_store(spark, f"{path}/lengths"), stats.select("n", "avgdl"), tokenizer, stop, params["k1"], params["b"])
+        stats = open_store(spark, f"{path}/stats").select("n", "avgdl")
+        return cls(open_store(spark, f"{path}/postings"), open_store(spark, f"{path}/lengths"), stats, tokenizer or TOKENIZERS[params["tokenizer"]], stop, params["k1"], params["b"], bucketed=True)
+
+    def add(self, path: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "comment") -> Bm25Index:
+        """The saved index at ``path``, with new or changed documents put into a segment of their own; what they replace is out of date from then on."""
+        spark = docs.sparkSession
+        old = spark.read.parquet(f"{path}/lengths")
+        number = (old.agg(F.max("segment")).first()[0] or 0) + 1
+        new = Bm25Index.build(docs, doc_id, text, self.stop_words, self.tokenizer, self.k1, self.b, number)
+        lengths = checkpointed(old.join(new.lengths, "doc_id", "left_anti").unionByName(new.lengths))
+        new._write_postings(path, "append")
+        lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self._write_stats(path, self.figures(spark.read.parquet(f"{path}/lengths")))
+        return Bm25Index.load(spark, path, self.tokenizer)
 
     @classmethod
     def load_or_build(cls, spark: SparkSession, path: str, docs: DataFrame | None, doc_id: str = "doc_id", text: str = "comment", **options: object) -> Bm25Index:
@@ -117,4 +157,4 @@ class Bm25Index:
             if docs is None:
                 raise FileNotFoundError(path)
             cls.build(docs, doc_id, text, **options).save(path)
-        return cls.load(spark, path)
+        return cls.load(spark, path, options.get("tokenizer"))

@@ -7,13 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checkpointed
 
-BLOCK = 512  #: queries held by a task at a time
+BLOCK = 8192  #: queries that share one pass over the collection
+AT_A_TIME = 512  #: of them multiplied at a time
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +63,8 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
 
     ``filters`` maps collection columns to query columns; a query value that is not null or empty must be
     equal, and rows are filtered **before** the top k.  ``unit`` skips the division by lengths for unit
-    vectors.  Each task multiplies its batches with a block of queries and passes on at most ``k`` rows a
-    query; ties go to the smaller key.
+    vectors.  ``BLOCK`` queries share one pass over the collection; a task passes on at most ``k`` rows a
+    query, and rows that no filter of a query lets through are not multiplied.  Ties go to the smaller key.
     """
     filters = filters or {}
     names = list(filters)
@@ -73,26 +75,36 @@ def cosine_topk(collection: DataFrame, queries: DataFrame, key: str, k: int, fil
     for ids, q, wanted in _blocks(queries, list(filters.values())):
         scale = np.ones(len(q)) if unit else 1 / np.maximum(np.linalg.norm(q, axis=1), 1e-300)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, wanted=wanted, scale=scale) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
+        # queries with the same filters share its rows
+        groups: dict[tuple, list[int]] = {}
+        for j, values in enumerate(wanted):
+            groups.setdefault(tuple(v or None for v in values), []).append(j)
 
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q, groups=groups, scale=scale) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ids]
             for b in batches:
                 rows, x = matrix(b.column(1))
                 if not len(rows):
                     continue
-                scores = x @ q.T * scale
                 if not unit:
-                    scores /= np.linalg.norm(x, axis=1, keepdims=True)
-                scores = np.round(scores, digits)
+                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False))[rows]
-                fields = [np.asarray(b.column(2 + i).to_pylist(), object)[rows] for i in range(len(names))]
-                for j in range(len(ids)):
+                equal: dict[tuple, np.ndarray] = {}
+                for values, members in groups.items():
                     ok = np.ones(len(rows), bool)
-                    for f, value in zip(fields, wanted[j]):
-                        if value:
-                            ok &= f == value
-                    if ok.any():
-                        best[j] = _trim([*best[j], (scores[ok, j], keys[ok])], k)
+                    for i, value in enumerate(values):
+                        if value is not None:
+                            if (i, value) not in equal:
+                                equal[i, value] = np.asarray(pc.equal(b.column(2 + i), value).fill_null(False))[rows]
+                            ok &= equal[i, value]
+                    if not ok.any():
+                        continue
+                    some, who = (x, keys) if ok.all() else (x[ok], keys[ok])
+                    for at in range(0, len(members), AT_A_TIME):
+                        part = members[at : at + AT_A_TIME]
+                        scores = np.round(some @ q[part].T * scale[part], digits)
+                        for n, j in enumerate(part):
+                            best[j] = _trim([*best[j], (scores[:, n], who)], k)
             got = [(i, *p) for i, parts in zip(ids, best) for p in parts]
             if got:
                 n = [len(s) for _, s, _ in got]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,6 +21,9 @@ from ..operators.vector import cosine_topk
 from ..schema import SearchConfig
 from .build import Stores
 
+LOG = logging.getLogger(__name__)
+#: What a question's vector is asked for; embedders that take instructions get it.
+INSTRUCTION = "Given a guest's question, retrieve reviews that answer it"
 APOLOGY = "The answer could not be written just now; please see the comments below."
 
 
@@ -46,6 +51,7 @@ class HybridSearch:
         self.spark, self.stores, self.cfg = spark, stores, config or SearchConfig()
         self.llm, self.embedder, self.reranker = llm or OfflineModel(), embedder or HashEmbedder(), reranker or OverlapReranker()
         self.index = Bm25Index.load(spark, f"{stores.path}/index")
+        self.failures: dict[str, int] = {}  #: calls of each kind that failed and were made up for
 
     # --- stage 1: query processing ---
     def process(self, query: str, enable_hyde: bool = False, timings: dict[str, float] | None = None) -> QueryInfo:
@@ -60,30 +66,43 @@ class HybridSearch:
         try:
             return self.llm.complete(task, prompt, most)
         except Exception:  # noqa: BLE001 - a failing model must not end the search
+            LOG.warning("the model failed at %s", task, exc_info=True)
+            self.failures[task] = self.failures.get(task, 0) + 1
             return ""
 
-    # --- stage 2: recall, all routes and sub-queries in one plan ---
-    def recall(self, info: QueryInfo) -> tuple[DataFrame, DataFrame]:
-        """(lists, summaries) of the question; each distinct text is embedded once."""
+    # --- stage 2: recall, every route for all sub-queries at once ---
+    def routes(self, info: QueryInfo) -> dict[str, DataFrame]:
+        """The recall list of each route and the summaries; each distinct text is embedded once."""
         texts = [q for q, _ in info.sub_queries]
-        vec = dict(zip(texts, self.embedder.embed(texts, "query")))
+        vec = dict(zip(texts, self.embedder.embed(texts, "query", INSTRUCTION)))
         rows = [(i, q, vec[q], info.intent["room_type"], info.intent["fuzzy_room_type"]) for i, q in enumerate(texts)]
         asked = self.spark.createDataFrame(rows, "query_id int, query string, embedding array<double>, intent_room_type string, intent_fuzzy_room_type string")
         filters = {"room_type": "intent_room_type", "fuzzy_room_type": "intent_fuzzy_room_type"}
         k = self.cfg.topk_recall
         to_list = lambda df, source: df.select(F.lit(0).alias("query_id"), F.col("query_id").alias("query_idx"), F.lit(source).alias("source"), F.col("rank").cast("int").alias("hit_rank"), "doc_id", "score")
-        text = to_list(self.index.search(asked, ["query_id"], "query", k), "text")
-        vector = to_list(cosine_topk(self.stores.comment_vectors(), asked, "doc_id", k, filters), "vector")
         questions = self.stores.question_vectors()
         near = cosine_topk(questions, asked, "question_id", k, filters).join(questions.select("question_id", F.col("comment_id").alias("doc_id")), "question_id")
-        lists = [text, vector, to_list(near, "reverse")]
-        if info.hyde_answer:
-            hyde = self.spark.createDataFrame([(0, self.embedder.embed([info.hyde_answer])[0], info.intent["room_type"], info.intent["fuzzy_room_type"])], "query_id int, embedding array<double>, intent_room_type string, intent_fuzzy_room_type string")
-            lists.append(to_list(cosine_topk(self.stores.comment_vectors(), hyde, "doc_id", k, filters), "hyde"))
         categories = self.stores.category_vectors()
         hits = cosine_topk(categories, asked, "category", self.cfg.topk_summary).join(categories.select("category", "keywords", "summary", "comment_count"), "category")
-        summaries = hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("query_idx"), "category", "rank", "score", "keywords", "summary", "comment_count")
-        return fusion.union_lists(*lists), X.first_summaries(summaries)
+        out = {
+            "text_recall": to_list(self.index.search(asked, ["query_id"], "query", k), "text"),
+            "vector_recall": to_list(cosine_topk(self.stores.comment_vectors(), asked, "doc_id", k, filters), "vector"),
+            "reverse_recall": to_list(near, "reverse"),
+            "summary_recall": hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("query_idx"), "category", "rank", "score", "keywords", "summary", "comment_count"),
+        }
+        if info.hyde_answer:
+            hyde = self.spark.createDataFrame([(0, self.embedder.embed([info.hyde_answer])[0], info.intent["room_type"], info.intent["fuzzy_room_type"])], "query_id int, embedding array<double>, intent_room_type string, intent_fuzzy_room_type string")
+            out["hyde_recall"] = to_list(cosine_topk(self.stores.comment_vectors(), hyde, "doc_id", k, filters), "hyde")
+        return out
+
+    def recall(self, info: QueryInfo, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(lists, summaries) of the question.  The routes run side by side; their seconds go into ``timings``, their few rows are kept."""
+        timings = {} if timings is None else timings
+        found = {name: df.persist() for name, df in self.routes(info).items()}
+        with ThreadPoolExecutor(len(found)) as pool:
+            list(pool.map(lambda name: _timed(timings, name, found[name].count), found))
+        summaries = X.first_summaries(found.pop("summary_recall"))
+        return fusion.union_lists(*found.values()), summaries
 
     def fuse(self, lists: DataFrame) -> DataFrame:
         return fusion.fuse(fusion.rank_lists(lists), self.cfg.rrf_k, limit=self.cfg.candidates).join(self.stores.comments(), "doc_id", "left")
@@ -96,6 +115,8 @@ class HybridSearch:
         try:
             result = self.reranker.rerank(query, [r["comment"] or "" for r in rows], min(self.cfg.topk_rerank, len(rows)))
         except Exception:  # noqa: BLE001
+            LOG.warning("the reranker failed, the fused order stays", exc_info=True)
+            self.failures["rerank"] = self.failures.get("rerank", 0) + 1
             result = [(i, 1.0 / (i + 1)) for i in range(min(self.cfg.topk_rerank, len(rows)))]
         table = self.spark.createDataFrame([(0, int(rows[i]["fused_rank"]) - 1, float(s)) for i, s in result], "query_id int, index long, relevance double")
         return ranking.rerank(ranking.attach_by_position(fused, table), F.col("relevance"), self.cfg.topk_rerank)
@@ -121,14 +142,14 @@ class HybridSearch:
             preview = info.hyde_answer[:100] + "..." if info.hyde_answer else None
             yield {"stage": "query_process", "status": "done", "duration": round(t["query_process"], 2), "intent": info.intent, "sub_queries": [{"query": q, "weight": w} for q, w in info.sub_queries], "hyde": preview}
             yield {"stage": "recall", "status": "running", "detail": f"{len(info.sub_queries)} sub-queries"}
-            lists, summaries = self.recall(info)
+            lists, summaries = _timed(t, "retrieve", lambda: self.recall(info, t))
             summaries = summaries.persist()
-            _timed(t, "recall", lambda: summaries.count())
             found = summaries.orderBy("query_idx", "rank").collect()
-            yield {"stage": "recall", "status": "done", "duration": round(t["recall"], 2), "summary_categories": [r["category"] for r in found]}
+            yield {"stage": "recall", "status": "done", "duration": round(t["retrieve"], 2), "summary_categories": [r["category"] for r in found]}
             yield {"stage": "fusion", "status": "running", "detail": "reciprocal ranks"}
             fused = self.fuse(lists).persist()
             count = _timed(t, "rrf_fusion", fused.count)
+            t["retrieve"] += t["rrf_fusion"]
             yield {"stage": "fusion", "status": "done", "duration": round(t["rrf_fusion"], 2), "fused_count": count}
             yield {"stage": "rerank", "status": "running", "detail": f"{count} candidates"}
             reranked = _timed(t, "rerank", lambda: self.rerank(info.original, fused).persist())

@@ -27,19 +27,30 @@ def local_session(cpus: int = 8, name: str = "staylens") -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: the one of ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests, a temporary one is set.
+    Only where that is unset on a single machine, as in tests, it is a temporary one; on a cluster its
+    executors could not share that, so there RuntimeError is raised.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    if sc.applicationId not in _SHARED:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _SHARED[sc.applicationId] = named or tempfile.mkdtemp(prefix="staylens-checkpoint-")
+    return _SHARED[sc.applicationId]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by a reliable checkpoint in the ``shared_folder``."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="staylens-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+_SHARED: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 

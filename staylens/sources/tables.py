@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from ..schema import DEFAULTS, REVERSE_QUERIES, SUMMARIES
 
@@ -21,28 +20,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file with all columns as strings, named by its heading, whatever their order."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def read_comments_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comments from CSV whose first column is the row id; a missing file gives an empty table."""
-    schema = "doc_id string, " + ", ".join(f"{c} string" for c in DEFAULTS)
     if not exists(spark, path):
-        return typed(spark.createDataFrame([], schema))
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    first = header.columns[0]
-    renamed = header.withColumnRenamed(first, "doc_id")
-    return typed(renamed)
+        return typed(spark.createDataFrame([], "doc_id string, " + ", ".join(f"{c} string" for c in DEFAULTS)))
+    table = _csv(spark, path)
+    return typed(table.withColumnRenamed(table.columns[0], "doc_id"))
 
 
 def typed(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Every known column cast with its default where missing or unreadable; the key as a string."""
+    """Every known column cast with its default where missing or unreadable; the key as a string.
+
+    A whole number written as ``4.0``, as columns with gaps come out of other tools, is read as 4.
+    """
     kinds = {str: "string", float: "double", int: "int"}
     cols = [F.col(key).cast("string").alias(key)]
     for name, default in DEFAULTS.items():
         kind = kinds[type(default)]
-        value = F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
+        value = F.col(name) if name in df.columns else F.lit(None)
+        value = value.try_cast("double").try_cast("int") if kind == "int" else value.try_cast(kind)
         cols.append(F.coalesce(value, F.lit(default).cast(kind)).alias(name))
     return df.select(*cols)
 
@@ -54,13 +55,26 @@ def one_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(key).agg(best.alias("_best")).select(key, *[F.col(f"_best.row.{c}").alias(c) for c in rest])
 
 
+def numbered(df: DataFrame, to: str) -> DataFrame:
+    """``df`` with ``to`` = the dense position of each row in the order of its partitions, from 0."""
+    rows = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_at", 33)
+    # one row a partition: the rows before each are a running total over these few counts
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = rows.withColumn("_part", part).join(starts, "_part")
+    return out.withColumn(to, F.col("_start") + F.col("_at") - F.shiftleft(F.col("_part"), 33)).select(*df.columns, to)
+
+
 def read_reverse_csv(spark: SparkSession, path: str) -> DataFrame:
     """Generated questions from CSV; the id is ``query_<row position>``, dense and in file order."""
-    df = _csv(spark, path, REVERSE_QUERIES) if exists(spark, path) else spark.createDataFrame([], REVERSE_QUERIES)
-    schema = StructType([StructField("query_id", spark.createDataFrame([], "x string").schema[0].dataType), *df.schema.fields])
-    # positions must be dense over the whole file, which no built-in expression gives
-    rows = df.rdd.zipWithIndex().map(lambda x: (f"query_{x[1]}", *x[0]))
-    return spark.createDataFrame(rows, schema)
+    if not exists(spark, path):
+        return spark.createDataFrame([], "query_id string, " + REVERSE_QUERIES)
+    table = _csv(spark, path)
+    names = [c.split()[0] for c in REVERSE_QUERIES.split(", ")]
+    table = table.select(*[(F.col(c) if c in table.columns else F.lit(None)).cast("string").alias(c) for c in names])
+    return numbered(table, "_no").select(F.concat(F.lit("query_"), F.col("_no").cast("string")).alias("query_id"), *names)
 
 
 def read_summaries_json(spark: SparkSession, path: str) -> DataFrame:
@@ -90,11 +104,12 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
         raise StoreMissing(path) from e
 
 
-def get_or_create(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
-    """The store at ``path``, made empty where missing, and its row count."""
+def get_or_create(spark: SparkSession, path: str, schema: str, partition: str | None = None) -> tuple[DataFrame, int]:
+    """The store at ``path``, made empty where missing, and its row count; ``partition`` is the column of its folders."""
     if not exists(spark, path):
         spark.createDataFrame([], schema).write.parquet(path)
-    df = spark.read.parquet(path)
+    reader = spark.read.schema(schema) if partition else spark.read
+    df = reader.parquet(path)
     return df, df.count()
 
 

@@ -5,7 +5,8 @@ import json
 import pytest
 
 from staylens.models import HashEmbedder, OfflineModel, parse_intent, parse_json, parse_sub_queries
-from staylens.plans.build import COMMENT_STORE, Stores, build, upsert_missing
+from staylens.plans.build import COMMENT_STORE, Stores, build, ingest_comments, upsert
+from staylens.operators.bm25 import Bm25Index
 from staylens.plans.engine import HybridSearch, formatted, server_sent
 from staylens.sources import tables as S
 from staylens.streaming.ingest import ingest
@@ -30,7 +31,8 @@ def test_search(engine):
     r = engine.query("早餐好吃吗", enable_hyde=True)
     assert r.top_comments[0]["rank"] == 1 and len(r.top_comments) == 8
     assert {"早餐很好吃", "早餐种类不多"} & {c["comment"] for c in r.top_comments[:3]}
-    assert r.query_info.hyde_answer and r.summaries and "total" in r.latency
+    assert r.query_info.hyde_answer and r.summaries
+    assert set(r.latency) == set("query_process intent_detect expand hyde text_recall vector_recall reverse_recall summary_recall hyde_recall rrf_fusion retrieve rerank composite_score generate total".split())
     assert "早餐" in formatted(r)
 
 
@@ -56,7 +58,9 @@ def test_failing_models(engine, spark):
         def rerank(self, *a):
             raise OSError("down")
 
-    r = HybridSearch(spark, engine.stores, llm=Broken(), reranker=Broken()).query("早餐")
+    broken = HybridSearch(spark, engine.stores, llm=Broken(), reranker=Broken())
+    r = broken.query("早餐")
+    assert broken.failures == {"intent": 1, "expand": 1, "rerank": 1, "answer": 1}
     assert r.top_comments and r.query_info.sub_queries == [("早餐", 1.0)]
 
 
@@ -79,8 +83,8 @@ def test_upsert_after_loss(spark, tmp_path):
                 raise OSError("down")
             return super().embed(texts, mode, instruct)
 
-    assert upsert_missing(spark, df.repartition(6, "doc_id"), path, "doc_id", "comment", COMMENT_STORE, Flaky())[1] >= 1
-    upsert_missing(spark, df, path, "doc_id", "comment", COMMENT_STORE, HashEmbedder())
+    assert upsert(spark, df.repartition(6, "doc_id"), path, "doc_id", "comment", COMMENT_STORE, Flaky())[1] >= 1
+    upsert(spark, df, path, "doc_id", "comment", COMMENT_STORE, HashEmbedder())
     assert sorted(r[0] for r in spark.read.parquet(path).select("doc_id").collect()) == [str(i) for i in range(6)]
 
 
@@ -90,13 +94,44 @@ def test_streaming_ingest(spark, tmp_path):
     for _ in range(2):
         df.write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 8
+    stores = Stores(spark, str(tmp_path / "store"))
+    assert stores.comments().count() == 8 == stores.comment_vectors().count()
+    # a changed row replaces the old one in all stores, a new one is added
+    changed = spark.createDataFrame([("000000000", "游泳池换了新水", "海景大床房", "大床房", 4.0, "2025-04-01", 8, 7, 99, 1, ""), ("000000099", "屋顶花园", "", "", 4.0, "", 8, 4, 0, 0, "")], schema)
+    before = {r["doc_id"]: r["embedding"] for r in stores.comment_vectors().collect()}
+    assert ingest_comments(spark, str(tmp_path / "store"), changed) == (2, 0)
+    assert ingest_comments(spark, str(tmp_path / "store"), changed) == (0, 0)
+    rows = {r["doc_id"]: r for r in stores.comments().collect()}
+    after = {r["doc_id"]: r["embedding"] for r in stores.comment_vectors().collect()}
+    assert len(rows) == 9 == len(after) and rows["000000000"]["useful_count"] == 99
+    assert [k for k in before if before[k] != after[k]] == ["000000000"]
+    index = Bm25Index.load(spark, str(tmp_path / "store" / "index"))
+    assert index.stats.first()["n"] == 9 and index.bucketed
+    hits = lambda q: [r["doc_id"] for r in index.search(spark.createDataFrame([(1, q)], "query_id int, q string"), ["query_id"], "q").collect()]
+    assert hits("早餐很好吃") == ["000000006"] and hits("游泳池") == ["000000000", "000000003"] or hits("游泳池")[0] == "000000000"
+
+
+def test_repeated_comments_are_stored_once(spark, tmp_path):
+    schema = "doc_id string, comment string, room_type string, fuzzy_room_type string, score double, publish_date string, quality_score int, comment_len int, useful_count int, review_count int, images string"
+    rows = [("1", "好", "a", "b", 4.0, "2025-01-01", 8, 1, n, 0, "") for n in (1, 7, 3)] + [(None, "x", "a", "b", 4.0, "", 8, 1, 1, 0, "")]
+    empty = spark.createDataFrame([], "query_id string, query string, comment_id string, comment string, room_type string, fuzzy_room_type string")
+    summaries = spark.createDataFrame([("c", "k", "s", 1)], "category string, keywords string, summary string, comment_count int")
+    path = str(tmp_path / "s")
+    assert build(spark, path, spark.createDataFrame(rows, schema), empty, summaries)["comments"] == (1, 0)
+    assert [r["useful_count"] for r in Stores(spark, path).comments().collect()] == [7]
+    found = HybridSearch(spark, Stores(spark, path)).query("好")
+    assert [c["doc_id"] for c in found.top_comments] == ["1"]
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text('id,comment,score,useful_count\n1,"two\nlines",4.5,3\n2,,x,\n')
     got = {r["doc_id"]: r for r in S.read_comments_csv(spark, str(tmp_path / "c.csv")).collect()}
     assert got["1"]["comment"] == "two\nlines" and got["2"]["score"] == 0.0 and got["2"]["useful_count"] == 0
+    (tmp_path / "n.csv").write_text("id,comment_len,useful_count,comment\n1,4.0,7,x\n2,4.9,1e3,y\n")  # another order of columns, counts with a point
+    assert [(r["comment"], r["comment_len"], r["useful_count"]) for r in S.read_comments_csv(spark, str(tmp_path / "n.csv")).orderBy("doc_id").collect()] == [("x", 4, 7), ("y", 4, 1000)]
+    (tmp_path / "q.csv").write_text("comment_id,extra,query\n1,e,a\n2,f,b\n")
+    assert [(r["query_id"], r["query"], r["comment_id"], r["room_type"]) for r in S.read_reverse_csv(spark, str(tmp_path / "q.csv")).orderBy("query_id").collect()] == [("query_0", "a", "1", None), ("query_1", "b", "2", None)]
+    assert [r["n"] for r in S.numbered(spark.range(1000, numPartitions=7), "n").orderBy("id").collect()] == list(range(1000))
     (tmp_path / "r.csv").write_text("query,comment_id,comment,room_type,fuzzy_room_type\na,1,,,\nb,2,,,\n")
     assert [r["query_id"] for r in S.read_reverse_csv(spark, str(tmp_path / "r.csv")).orderBy("query_id").collect()] == ["query_0", "query_1"]
     (tmp_path / "s.json").write_text('[{"category": "c", "keywords": "k", "summary": "s", "comment_count": 2}]')
