@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,11 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(queries: DataFrame, filters: list[str]) -> Iterator[tuple[list, np.ndarray, list[list]]]:
-    """The stated query set in blocks of bounded size."""
-    block: list = []
-    for row in queries.select("query_id", "embedding", *filters).toLocalIterator():
-        if row["embedding"] is not None:
-            block.append(row)
-        if len(block) == BLOCK:
-            yield [r["query_id"] for r in block], np.array([r["embedding"] for r in block], float), [[r[f] for f in filters] for r in block]
-            block = []
-    if block:
+    """The stated query set in blocks of at most ``BLOCK``: in one read where it fits one, else partition by partition."""
+    rows = queries.select("query_id", "embedding", *filters).where("embedding is not null")
+    few = rows.limit(BLOCK + 1).collect()
+    source = iter(few) if len(few) <= BLOCK else rows.toLocalIterator()
+    while block := list(islice(source, BLOCK)):
         yield [r["query_id"] for r in block], np.array([r["embedding"] for r in block], float), [[r[f] for f in filters] for r in block]
 
 

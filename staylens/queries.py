@@ -2,13 +2,15 @@
 
 Searches take as queries every row of ``query_log`` whose id is divisible by 20, against all rows.
 No table holds vectors of comments, so the embeddings are dealt out by id: comment, question and
-category numbers modulo their count.
+category numbers modulo their count.  The log gives room classes for few queries; the filtered searches
+therefore take a class from ``cutoff_targets`` by the query's number where it gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from hashlib import sha1
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,11 +22,12 @@ from .operators import context as X
 from .operators import fusion, ranking
 from .operators.bm25 import Bm25Index, tokens_of
 from .operators.vector import IvfIndex, cosine_topk, pairwise_best
+from .plans.build import NEWEST
 from .schema import DEFAULTS, SearchConfig
+from .session import checkpointed, shared_folder
 from .sources.tables import one_per_key, stringified, typed, with_fallback
 
 CFG = SearchConfig()
-NEWEST = ["useful_count", "review_count", "score", "publish_date", "comment_len", "images"]
 
 
 def read(s: SparkSession, d: str, table: str) -> DataFrame:
@@ -41,8 +44,15 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "embeddings")
 
 
+_COUNTS: dict[tuple[str, str], int] = {}
+
+
 def _n(s: SparkSession, d: str) -> int:
-    return vectors(s, d).count()
+    """The number of vectors, counted once an application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _COUNTS:
+        _COUNTS[key] = vectors(s, d).count()
+    return _COUNTS[key]
 
 
 def _with_vector(s: SparkSession, d: str, rows: DataFrame, number: Column) -> DataFrame:
@@ -63,6 +73,21 @@ def query_vectors(s: SparkSession, d: str, shift: int = 0) -> DataFrame:
     return _with_vector(s, d, asked(s, d), F.col("query_id") * 7 + shift)
 
 
+def classed(s: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    """The queries, each with a room class to filter by."""
+    # a fixed table of nine rows
+    t = read(s, d, "cutoff_targets").select(F.col("fuzzy_room_type").alias("_class"), (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("fuzzy_room_type")) - 1).alias("_no"))
+    out = queries.withColumn("_no", F.pmod(F.col("query_id") / 20, F.lit(9)).cast("int")).join(t, "_no", "left")
+    return out.withColumn("intent_fuzzy_room_type", F.coalesce(F.nullif("intent_fuzzy_room_type", F.lit("")), "_class")).drop("_no", "_class")
+
+
+def sub_queries(s: SparkSession, d: str) -> DataFrame:
+    """Two sub-queries a question, each with its vector: the question, and the question with the rooms it asks for."""
+    first = query_vectors(s, d).withColumn("query_idx", F.lit(0))
+    second = query_vectors(s, d, 11).withColumn("query", F.concat_ws(" ", "query", "intent_room_type", "intent_fuzzy_room_type")).withColumn("query_idx", F.lit(1))
+    return first.union(second)
+
+
 def comment_vectors(s: SparkSession, d: str) -> DataFrame:
     rows = read(s, d, "comments").select("doc_id", "room_type", "fuzzy_room_type").where("doc_id is not null").distinct()
     return _with_vector(s, d, rows, F.col("doc_id").cast("long"))
@@ -91,6 +116,19 @@ def index(s: SparkSession, d: str) -> Bm25Index:
     return Bm25Index.build(docs, "doc_id", "comment", stop_words(s, d))
 
 
+_INDEXES: dict[str, Bm25Index] = {}
+
+
+def saved_index(s: SparkSession, d: str) -> Bm25Index:
+    """The index as searches find it: built and saved once an application, in the folder all executors share."""
+    path = f"{shared_folder(s)}/{s.sparkContext.applicationId}-index-{sha1(d.encode()).hexdigest()[:16]}"
+    if path in _INDEXES:
+        return _INDEXES[path]
+    docs = read(s, d, "comments").where("doc_id is not null").groupBy("doc_id").agg(F.min("comment").alias("comment"))
+    _INDEXES[path] = Bm25Index.load_or_build(s, path, docs, "doc_id", "comment", stop_words=stop_words(s, d))
+    return _INDEXES[path]
+
+
 FILTERS = {"room_type": "intent_room_type", "fuzzy_room_type": "intent_fuzzy_room_type"}
 
 
@@ -126,16 +164,16 @@ def hyde_preview(s, d):
 
 # --- filters ---------------------------------------------------------------------------------------------
 def prefilter_conj(s, d):
-    """The comments each logged query may see; a term that is not given does not filter, so a query without terms sees all."""
-    c = comments(s, d).select("doc_id", "room_type", "fuzzy_room_type")
-    q = query_log(s, d).select("query_id", *[F.nullif(F.col(w), F.lit("")).alias(f"_{k}") for k, w in FILTERS.items()])
-    parts = []
-    # queries by the terms they give, so that each kind but the last is an equality join
-    for given in (["fuzzy_room_type", "room_type"], ["fuzzy_room_type"], ["room_type"], []):
-        some = q.where(reduce(lambda x, y: x & y, [F.col(f"_{k}").isNotNull() if k in given else F.col(f"_{k}").isNull() for k in FILTERS]))
-        met = c.join(some, [c[k] == some[f"_{k}"] for k in given]) if given else c.crossJoin(some)
-        parts.append(met.select("query_id", "doc_id"))
-    return reduce(lambda x, y: x.union(y), parts)
+    """How many comments each logged query may see, and the first and last of them; a term that is not given does not filter.
+
+    The comments are counted once by room and class with all totals, so a query without terms meets one row.
+    """
+    kinds = list(FILTERS)
+    c = comments(s, d).select("doc_id", *[F.struct(F.lit(True).alias("given"), F.col(k).alias("v")).alias(k) for k in kinds])
+    seen = c.cube(*kinds).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    seen = seen.select("n", "first_doc", "last_doc", *[F.coalesce(F.col(f"{k}.given"), F.lit(False)).alias(f"{k}_given") for k in kinds], *[F.coalesce(F.col(f"{k}.v"), F.lit("")).alias(f"{k}_v") for k in kinds])
+    q = query_log(s, d).select("query_id", *[(F.coalesce(w, F.lit("")) != "").alias(f"{k}_given") for k, w in FILTERS.items()], *[F.coalesce(w, F.lit("")).alias(f"{k}_v") for k, w in FILTERS.items()])
+    return q.join(seen, [c for k in kinds for c in (f"{k}_given", f"{k}_v")]).select("query_id", "n", "first_doc", "last_doc")
 
 
 def token_filter(s, d):
@@ -157,11 +195,11 @@ def tokenize(s, d):
 
 
 def term_freq(s, d):
-    return index(s, d).postings
+    return index(s, d).postings.select("doc_id", "term", "tf")
 
 
 def doc_length(s, d):
-    return index(s, d).lengths
+    return index(s, d).lengths.select("doc_id", "dl")
 
 
 def corpus_stats(s, d):
@@ -179,11 +217,15 @@ def term_idf(s, d):
 
 
 def bm25_search(s, d):
-    return index(s, d).search(asked(s, d), ["query_id"], "query", CFG.topk_recall)
+    return saved_index(s, d).search(asked(s, d), ["query_id"], "query", CFG.topk_recall)
 
 
 def bm25_repeated_term(s, d):
-    return index(s, d).search(asked(s, d).withColumn("query", F.concat("query", F.lit(" "), "query")), ["query_id"], "query", CFG.topk_recall)
+    return saved_index(s, d).search(asked(s, d).withColumn("query", F.concat("query", F.lit(" "), "query")), ["query_id"], "query", CFG.topk_recall)
+
+
+def bm25_multi_query(s, d):
+    return saved_index(s, d).search(sub_queries(s, d), ["query_id", "query_idx"], "query", CFG.topk_recall)
 
 
 def text_recall_meta(s, d):
@@ -198,18 +240,30 @@ def cosine_topk_q(s, d):
 
 
 def cosine_topk_filtered(s, d):
-    return cosine_topk(comment_vectors(s, d), query_vectors(s, d), "doc_id", CFG.topk_recall, FILTERS)
+    return cosine_topk(comment_vectors(s, d), classed(s, d, query_vectors(s, d)), "doc_id", CFG.topk_recall, FILTERS)
+
+
+def multi_query_topk(s, d):
+    """The nearest comments of every sub-query, ranked within it."""
+    q = sub_queries(s, d).withColumn("query_id", F.col("query_id") * 2 + F.col("query_idx"))
+    hits = cosine_topk(comment_vectors(s, d), q, "doc_id", CFG.topk_recall)
+    return hits.select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).cast("int").alias("query_idx"), "doc_id", "score", "rank")
 
 
 def reverse_recall(s, d):
-    hits = cosine_topk(question_vectors(s, d), query_vectors(s, d), "question_id", CFG.topk_recall, FILTERS)
+    return _reverse(s, d, classed(s, d, query_vectors(s, d)))
+
+
+def _reverse(s: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    hits = cosine_topk(question_vectors(s, d), queries, "question_id", CFG.topk_recall, FILTERS)
     q = questions(s, d).select(F.col("query_id").alias("question_id"), F.col("comment_id").alias("doc_id"))
     out = hits.join(q, "question_id").join(comments(s, d).select("doc_id", "comment"), "doc_id", "left")
     return out.select("query_id", "question_id", "doc_id", "score", "rank", F.coalesce("comment", F.lit("")).alias("comment"))
 
 
 def hyde_recall(s, d):
-    return cosine_topk(comment_vectors(s, d), query_vectors(s, d, 3).where("hyde"), "doc_id", CFG.topk_recall, FILTERS)
+    """The route of the hypothetical answer, for every asked query; the end-to-end search takes it for those that ask for it."""
+    return cosine_topk(comment_vectors(s, d), classed(s, d, query_vectors(s, d, 3)), "doc_id", CFG.topk_recall, FILTERS)
 
 
 def summary_recall_top3(s, d):
@@ -223,7 +277,15 @@ def pairwise_dot(s, d):
 
 
 def category_centres(s, d):
-    return vectors(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min_by("vec_id", F.col("vec_id")).alias("first_vec"))
+    """The mean vector of each label, one row a dimension."""
+    at = vectors(s, d).select("label", F.posexplode("embedding").alias("dim", "x"))
+    return at.groupBy("label", "dim").agg(F.count("*").alias("n"), F.round(F.avg(F.col("x").cast("double")), 6).alias("centre"))
+
+
+def category_vectors_q(s, d):
+    """The vector that stands for each label: that of its smallest number."""
+    one = vectors(s, d).groupBy("label").agg(F.count("*").alias("comment_count"), F.min("vec_id").alias("vec_id"))
+    return one.join(vectors(s, d).select("vec_id", "embedding"), "vec_id").select("label", "comment_count", "vec_id", F.round(F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 def ivf_topk(s, d):
@@ -266,6 +328,13 @@ def fused_cut80(s, d):
     return _fused(s, d, limit=CFG.candidates).select("query_id", "doc_id", "fused_rank")
 
 
+def hyde_fused(s, d):
+    """Documents whose fused score the hypothetical answer's list raises, with and without it."""
+    a, b = _fused(s, d).select("query_id", "doc_id", "rrf"), _fused(s, d, hyde=False).select("query_id", "doc_id", F.col("rrf").alias("rrf_without"))
+    out = a.join(b, ["query_id", "doc_id"], "left").withColumn("rrf_without", F.coalesce("rrf_without", F.lit(0.0)))
+    return out.where("rrf > rrf_without")
+
+
 def fused_without_hyde(s, d):
     return _fused(s, d, hyde=False, limit=CFG.candidates).select("query_id", "doc_id", "rrf", "fused_rank")
 
@@ -355,15 +424,40 @@ def context_prompt(s, d):
 
 
 def event_counts(s, d):
-    rows = logged(s, d)
-    fused = rows.groupBy("query_id").agg(F.countDistinct("doc_id").alias("fused_count"), F.countDistinct("query_idx").alias("sub_queries"))
-    return fused.withColumn("reranked_count", F.least("fused_count", F.lit(CFG.topk_rerank)).cast("long"))
+    """What the progress events of each logged question tell: fused documents, its sub-queries, reranked documents."""
+    fused = logged(s, d).groupBy("query_id").agg(F.countDistinct("doc_id").alias("fused_count"), F.countDistinct("query_idx").alias("sub_queries"))
+    kept = _reranked(s, d).groupBy("query_id").agg(F.count("*").alias("reranked_count"))
+    return fused.join(kept, "query_id", "left").withColumn("reranked_count", F.coalesce("reranked_count", F.lit(0)))
 
 
 def intent_flags(s, d):
     return query_log(s, d).select("query_id", F.col("time_sensitivity").isNotNull().alias("time_sensitive"), (F.coalesce("intent_room_type", F.lit("")) != "").alias("by_room"))
 
 
+def _answers(s: SparkSession, d: str, body: Column) -> DataFrame:
+    """The logged queries with what a model might answer: plain, in a code fence, or cut off, by the query's number."""
+    fenced = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+    kind = F.pmod("query_id", F.lit(3))
+    return query_log(s, d).withColumn("answer", F.when(kind == 0, body).when(kind == 1, fenced).otherwise(F.expr("substring(query, 1, 3)")))
+
+
+def intent_parse(s, d):
+    """The intent read from a model's answer; what is not a JSON object gives no intent."""
+    body = F.to_json(F.struct(F.col("intent_room_type").alias("room_type"), F.col("intent_fuzzy_room_type").alias("fuzzy_room_type"), "time_sensitivity"))
+    got = F.from_json(T.strip_fences(F.col("answer")), "room_type string, fuzzy_room_type string, time_sensitivity string")
+    return _answers(s, d, body).select("query_id", *[F.coalesce(got[c], F.lit("")).alias(c) for c in ("room_type", "fuzzy_room_type", "time_sensitivity")])
+
+
+def subquery_parse(s, d):
+    """The sub-queries read from a model's answer, at most three; the question itself, in full weight, where it has none."""
+    part = lambda n, w: F.struct(F.concat(F.lit(f"{n} "), F.coalesce("intent_room_type", F.lit(""))).alias("query"), F.lit(w).alias("weight"))
+    body = F.to_json(F.array(part("a", 0.75), part("b", 0.25)))
+    got = F.filter(F.from_json(T.strip_fences(F.col("answer")), "array<struct<query string, weight double>>"), lambda x: x["query"].isNotNull())
+    itself = F.array(F.struct(F.coalesce("query", F.lit("")).alias("query"), F.lit(1.0).alias("weight")))
+    rows = _answers(s, d, body).select("query_id", F.posexplode(F.when(F.size(got) > 0, F.slice(got, 1, 3)).otherwise(itself)).alias("query_idx", "sub"))
+    return rows.select("query_id", "query_idx", "sub.query", F.coalesce("sub.weight", F.lit(1.0)).alias("weight"))
+
+
 # --- build -----------------------------------------------------------------------------------------------
 def upsert_missing(s, d):
     """Questions whose comment is not in the store yet."""
@@ -381,31 +475,54 @@ def build_counts(s, d):
 
 
 # --- end to end ------------------------------------------------------------------------------------------
-def _e2e(s: SparkSession, d: str, sensitive: Column) -> DataFrame:
-    q = lambda df, source: df.select("query_id", F.lit(0).alias("query_idx"), F.lit(source).alias("source"), F.col("rank").cast("int").alias("hit_rank"), "doc_id", "score")
-    found = reverse_recall(s, d)
-    stored = found.select("query_id", "question_id", F.col("rank").alias("first_rank")).join(questions(s, d).select(F.col("query_id").alias("question_id"), *STORED), "question_id")
-    lists = fusion.union_lists(q(bm25_search(s, d), "text"), q(cosine_topk_filtered(s, d), "vector"), q(found, "reverse"), q(hyde_recall(s, d), "hyde"))
+def _search(s: SparkSession, d: str, queries: DataFrame, sensitive: Column, subs: int = 1) -> DataFrame:
+    """Hybrid search over all routes for queries (log columns, embedding, query_idx); their first sub-query's vector judges relevance."""
+    key = F.col("query_id") * subs + F.col("query_idx")
+    q = queries.withColumn("query_id", key)  # each sub-query is searched as a query of its own
+    back = [F.floor(F.col("query_id") / subs).cast("long").alias("query_id"), F.pmod("query_id", F.lit(subs)).cast("int").alias("query_idx")]
+    to_list = lambda df, source: df.select(*back, F.lit(source).alias("source"), F.col("rank").cast("int").alias("hit_rank"), "doc_id", "score")
+    vecs = comment_vectors(s, d)
+    found = checkpointed(_reverse(s, d, q))  # at most topk_recall rows a query, read twice below
+    text = saved_index(s, d).search(q, ["query_id"], "query", CFG.topk_recall)
+    hyde = queries.where("hyde and query_idx = 0").withColumn("query_id", key).drop("embedding")
+    hyde = cosine_topk(vecs, _with_vector(s, d, hyde, F.floor(F.col("query_id") / subs) * 7 + 3), "doc_id", CFG.topk_recall, FILTERS)
+    lists = fusion.union_lists(to_list(text, "text"), to_list(cosine_topk(vecs, q, "doc_id", CFG.topk_recall, FILTERS), "vector"), to_list(found, "reverse"), to_list(hyde, "hyde"))
     fused = fusion.fuse(fusion.rank_lists(lists), CFG.rrf_k, limit=CFG.candidates)
-    ranked = ranking.rerank(_candidates(s, d, fused, stored, ["query_id", "first_rank"]), _relevance(), CFG.topk_rerank)
+    stored = found.select(*back, "question_id", F.col("rank").alias("first_rank")).join(questions(s, d).select(F.col("query_id").alias("question_id"), *STORED), "question_id")
+    ranked = ranking.rerank(_candidates(s, d, fused, stored, ["query_id", "query_idx", "first_rank"]), _relevance(), CFG.topk_rerank)
     return ranking.composite(ranked, sensitive, CFG, CFG.topk_final)
 
 
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "final_rank", "doc_id", "final_score", "rrf", "rerank_rank", F.concat_ws("; ", "routes").alias("routes"))
+
+
 def hybrid_search_e2e(s, d):
-    return _e2e(s, d, F.col("time_sensitivity").isNotNull()).select("query_id", "final_rank", "doc_id", "final_score", "rrf", "rerank_rank", F.concat_ws("; ", "routes").alias("routes"))
+    return _shown(_search(s, d, query_vectors(s, d).withColumn("query_idx", F.lit(0)), F.col("time_sensitivity").isNotNull()))
 
 
 def hybrid_search_time_sensitive(s, d):
-    return _e2e(s, d, F.lit(True)).select("query_id", "final_rank", "doc_id", "final_score")
+    return _search(s, d, query_vectors(s, d).withColumn("query_idx", F.lit(0)), F.lit(True)).select("query_id", "final_rank", "doc_id", "final_score")
+
+
+def hybrid_search_multi_query(s, d):
+    """Every question by two sub-queries, whose lists are fused in their order."""
+    return _shown(_search(s, d, sub_queries(s, d), F.col("time_sensitivity").isNotNull(), 2))
+
+
+def hybrid_search_whole_log(s, d):
+    """As ``hybrid_search_e2e``, for every logged query, whatever its number."""
+    every = _with_vector(s, d, query_log(s, d), F.col("query_id") * 7)
+    return _shown(_search(s, d, every.withColumn("query_idx", F.lit(0)), F.col("time_sensitivity").isNotNull()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = [
-        hybrid_search_e2e, hybrid_search_time_sensitive, comments_view, typed_defaults, field_fallback, stringify_fields, output_truncate, summary_truncate, hyde_preview,
-        prefilter_conj, token_filter, stopword_antijoin, strip_blanks, tokenize, term_freq, doc_length, corpus_stats, doc_freq, term_idf, bm25_search, bm25_repeated_term, text_recall_meta,
-        cosine_topk_filtered, reverse_recall, hyde_recall, summary_recall_top3, pairwise_dot, category_centres, ivf_topk,
-        recall_union, list_rank, rrf_fuse, rrf_routes, rrf_first_seen, fused_cut80, fused_without_hyde,
+        hybrid_search_e2e, hybrid_search_time_sensitive, hybrid_search_multi_query, comments_view, typed_defaults, field_fallback, stringify_fields, output_truncate, summary_truncate, hyde_preview,
+        prefilter_conj, token_filter, stopword_antijoin, strip_blanks, tokenize, term_freq, doc_length, corpus_stats, doc_freq, term_idf, bm25_search, bm25_repeated_term, bm25_multi_query, text_recall_meta,
+        cosine_topk_filtered, multi_query_topk, reverse_recall, hyde_recall, summary_recall_top3, pairwise_dot, category_centres, ivf_topk,
+        recall_union, list_rank, rrf_fuse, rrf_routes, rrf_first_seen, fused_cut80, fused_without_hyde, hyde_fused,
         rerank_top40, rerank_positional, feature_max_norm, timeliness_on, timeliness_off, composite_score, final_top10, result_payload,
-        summary_dedupe, context_prompt, event_counts, intent_flags, upsert_missing, upsert_last_wins, build_counts,
+        summary_dedupe, context_prompt, event_counts, intent_flags, intent_parse, subquery_parse, upsert_missing, upsert_last_wins, build_counts,
     ]
-    return {f.__name__: f for f in fs} | {"cosine_topk": cosine_topk_q}
+    return {f.__name__: f for f in fs} | {"cosine_topk": cosine_topk_q, "category_vectors": category_vectors_q}
