@@ -50,10 +50,11 @@ def _bucket(term: str = "term") -> Column:
 
 @dataclass
 class Bm25Index:
-    """Postings (term, doc_id, tf, segment), document lengths (doc_id, dl, segment) and one row of corpus figures (n, avgdl).
+    """Postings (term, doc_id, tf, dl, segment), document lengths (doc_id, dl, segment) and one row of corpus figures (n, avgdl).
 
-    A document's length names the segment that holds its postings; postings of older segments are out
-    of date and drop out of every join with the lengths.
+    A posting carries the length of its document, so that a search joins nothing to it.  Only where an
+    index has grown by segments are the lengths read: a document's names the segment that holds its
+    postings, and those of older segments are out of date and drop out.
     """
 
     postings: DataFrame
@@ -64,22 +65,26 @@ class Bm25Index:
     k1: float = 1.5
     b: float = 0.75
     bucketed: bool = False
+    grown: bool = False
 
     @classmethod
     def build(cls, docs: DataFrame, doc_id: str, text: str, stop_words: DataFrame | None = None, tokenizer: Tokenizer = mixed_tokens, k1: float = 1.5, b: float = 0.75, segment: int = 0) -> Bm25Index:
         """Index of one row a document; documents without tokens count in ``n`` and ``avgdl``."""
         docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
         stop_words = short_list(stop_words)
-        # all tokens of a document are in one task: the partial count leaves only postings to shuffle
-        postings = tokens_of(docs, ["doc_id"], "text", stop_words, tokenizer).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
         kept = kept_tokens("text", stop_words, tokenizer)
+        # all tokens of a document are in one task: the partial count leaves only postings to shuffle
         if kept is not None:  # lengths come straight from the rows
             lengths = docs.select("doc_id", F.size(kept).cast("long").alias("dl"))
+            tokens = docs.select("doc_id", kept.alias("kept")).select("doc_id", F.size("kept").cast("long").alias("dl"), F.explode("kept").alias("term"))
+            postings = tokens.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
         else:
+            postings = tokens_of(docs, ["doc_id"], "text", stop_words, tokenizer).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
             dl = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
             lengths = docs.select("doc_id").join(dl, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+            postings = postings.join(dl, "doc_id")
         number = F.lit(segment).alias("segment")
-        return cls(postings.select("*", number), lengths.select("*", number), cls.figures(lengths), tokenizer, stop_words, k1, b)
+        return cls(postings.select("term", "doc_id", "tf", "dl", number), lengths.select("*", number), cls.figures(lengths), tokenizer, stop_words, k1, b)
 
     @staticmethod
     def figures(lengths: DataFrame) -> DataFrame:
@@ -99,7 +104,9 @@ class Bm25Index:
         postings = self.postings
         if self.bucketed:  # at most BUCKETS numbers, which prune the folders that are read
             postings = postings.where(F.col("bucket").isin([r[0] for r in terms.select(_bucket().alias("bucket")).distinct().collect()]))
-        hits = postings.join(terms, "term", "left_semi").join(self.lengths, ["doc_id", "segment"])
+        hits = postings.join(terms, "term", "left_semi")
+        if self.grown:
+            hits = hits.join(self.lengths.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
         df = hits.groupBy("term").agg(F.count("*").alias("df"))
         figures = self.stats.first()
         n, avgdl = (figures["n"], figures["avgdl"]) if figures else (0, 0.0)
@@ -117,15 +124,15 @@ class Bm25Index:
             words = self.stop_words
             words = self.stats.sparkSession.createDataFrame([(w,) for w in words], "word string") if isinstance(words, list) else words
             words.select("word").write.mode("overwrite").parquet(f"{path}/stop_words")
-        self._write_stats(path, self.figures(self.stats.sparkSession.read.parquet(f"{path}/lengths")))
+        self._write_stats(path, self.figures(self.stats.sparkSession.read.parquet(f"{path}/lengths")), False)
 
     def _write_postings(self, path: str, mode: str) -> None:
-        rows = self.postings.select("term", "doc_id", "tf", "segment", _bucket().alias("bucket"))
+        rows = self.postings.select("term", "doc_id", "tf", "dl", "segment", _bucket().alias("bucket"))
         rows.repartition("bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
 
-    def _write_stats(self, path: str, stats: DataFrame) -> None:
+    def _write_stats(self, path: str, stats: DataFrame, grown: bool) -> None:
         name = next((k for k, f in TOKENIZERS.items() if f is self.tokenizer), None)
-        settings = {"k1": F.lit(self.k1), "b": F.lit(self.b), "tokenizer": F.lit(name).cast("string")}
+        settings = {"k1": F.lit(self.k1), "b": F.lit(self.b), "tokenizer": F.lit(name).cast("string"), "grown": F.lit(grown)}
         stats.withColumns(settings).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
@@ -136,7 +143,7 @@ class Bm25Index:
             raise ValueError("the index was built with a tokenizer of its own, which must be given")
         stop = short_list(spark.read.parquet(f"{path}/stop_words")) if exists(spark, f"{path}/stop_words") else None
         stats = open_store(spark, f"{path}/stats").select("n", "avgdl")
-        return cls(open_store(spark, f"{path}/postings"), open_store(spark, f"{path}/lengths"), stats, tokenizer or TOKENIZERS[params["tokenizer"]], stop, params["k1"], params["b"], bucketed=True)
+        return cls(open_store(spark, f"{path}/postings"), open_store(spark, f"{path}/lengths"), stats, tokenizer or TOKENIZERS[params["tokenizer"]], stop, params["k1"], params["b"], bucketed=True, grown=params["grown"])
 
     def add(self, path: str, docs: DataFrame, doc_id: str = "doc_id", text: str = "comment") -> Bm25Index:
         """The saved index at ``path``, with new or changed documents put into a segment of their own; what they replace is out of date from then on."""
@@ -147,7 +154,7 @@ class Bm25Index:
         lengths = checkpointed(old.join(new.lengths, "doc_id", "left_anti").unionByName(new.lengths))
         new._write_postings(path, "append")
         lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self._write_stats(path, self.figures(spark.read.parquet(f"{path}/lengths")))
+        self._write_stats(path, self.figures(spark.read.parquet(f"{path}/lengths")), True)
         return Bm25Index.load(spark, path, self.tokenizer)
 
     @classmethod
