@@ -11,6 +11,7 @@ to the text as stored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date
@@ -72,7 +73,7 @@ def proposals() -> list[Proposal]:
     han = r"[一-鿿]"
     return [
         Proposal("email", c(rf"(?i)(?<![A-Za-z0-9._%+\-])(?P<m>{_LOCAL}{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)*{_DOT}[A-Za-z]{{2,}})(?![A-Za-z0-9])"), 0.7, "email", "@艾aA"),
-        Proposal("email", c(r"(?<![\p{L}\p{N}._%+\-])(?P<m>[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@(?=\S*[^\x00-\x7f])[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}?)(?![\p{Latin}\p{N}]|\p{L}(?!\p{L}{4}))"), 0.6, "email", "@"),
+        Proposal("email", c(r"(?<![\p{L}\p{N}._%+\-])(?P<m>[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}?)(?![\p{Latin}\p{N}]|\p{L}(?!\p{L}{4}))"), 0.7, "idn", "@"),
         # telephone numbers
         Proposal("phone", c(r"(?<![A-Za-z0-9_.+\-])(?P<m>(?:(?:[(]?(?:\+|00)\s?86[)]?)[\- ]?)?1[3-9]\d(?:[\-. ]?\d){8})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "6"),
         Proposal("phone", c(r"(?<![A-Za-z0-9_+])(?P<m>[(]?(?:\+|(?<!\d)00)[1-9]\d{0,2}[)]?(?:[ \-.]?[(]?\d{1,9}[)]?){1,6})(?![\-.]?[\dA-Za-z])"), 0.65, "phone", "6"),
@@ -209,6 +210,8 @@ def _checked(check: str, text: str, m: re.Match) -> tuple[float, int, int]:
         if at and not re.search(r"(?i)dot|点", s) and not re.search(r"[\d._+\-]", s[: at.start()]):
             return -1, a, b
         return 0.1, a, b
+    if check == "idn":  # with letters beyond ASCII; the others have a pattern of their own
+        return (-1 if s.isascii() else 0), a, b
     if check == "cnaddr":
         lead = _LEAD.match(s)
         if lead and lead.end() < len(s):
@@ -281,12 +284,13 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int
             score = p.base + change + (0.3 if pro and pro.search(near) else 0) - (0.4 if con and con.search(folded[max(0, a - 8) : a]) else 0)
             if score >= threshold:
                 found.append((-score, a - b, a, b, p.kind))
-    chosen: list[tuple[int, int, str, float]] = []
+    chosen: list[tuple[int, int, str, float]] = []  # in order, so only the neighbours can overlap
     for score, _, a, b, kind in sorted(found):
-        if all(b <= x or a >= y for x, y, _, _ in chosen):
-            chosen.append((a, b, kind, -score))
+        at = bisect_left(chosen, (a,))
+        if (at == 0 or chosen[at - 1][1] <= a) and (at == len(chosen) or b <= chosen[at][0]):
+            chosen.insert(at, (a, b, kind, -score))
     at = (lambda i: i) if where is None else (lambda i: where[i])
-    return [(at(a), at(b - 1) + 1, kind, round(s, 3)) for a, b, kind, s in sorted(chosen)]
+    return [(at(a), at(b - 1) + 1, kind, round(s, 3)) for a, b, kind, s in chosen]
 
 
 def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:

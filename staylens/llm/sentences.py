@@ -209,6 +209,7 @@ def _breaks_in(text: str, s: int, e: int, out: list[int], lang: str) -> int:
     sterm, full, basic = _marks()
     token = basic if text.isascii() or max(text[s:e], default="") <= "\uffff" else full
     stack: list[tuple[str, int, bool, bool]] = []
+    waiting: dict[str, int] = {}  # how often each closing mark is on the stack
     begin, marks = s, 0
     german = "„" in text
 
@@ -226,14 +227,20 @@ def _breaks_in(text: str, s: int, e: int, out: list[int], lang: str) -> int:
         ch = text[a]
         if ch in _OPEN or ch in _CLOSE or ch == '"':
             pos = b
-            closes = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None)
+            closes = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ch), None) if waiting.get(ch) else None
             if closes is None or ch == '"' and closes is None:
                 if ch == '"' or ch in _OPEN and not (german and ch == "“"):
-                    at_start = text[begin:a].strip(_SPACE) == ""
-                    before = text[begin:a].rstrip(_SPACE)[-1:]
+                    at_start, back = start_of(begin) >= a, a
+                    while back > begin and text[back - 1] in _SPACE:
+                        back -= 1
+                    before = text[back - 1] if back > begin else ""
+                    mate = '"' if ch == '"' else _PAIRS[ch]
+                    waiting[mate] = waiting.get(mate, 0) + 1
                     stack.append(('"' if ch == '"' else _PAIRS[ch], a, at_start, before in (":", "：", ",", "，")))
                 continue
             _, opened, at_start, introduced = stack[closes]
+            for closed in stack[closes:]:
+                waiting[closed[0]] -= 1
             del stack[closes:]
             if stack:
                 continue
@@ -275,6 +282,7 @@ def _breaks_in(text: str, s: int, e: int, out: list[int], lang: str) -> int:
         if stack:
             if b - stack[-1][1] > 400:
                 stack.clear()  # a quotation that never closes
+                waiting.clear()
             else:
                 continue
         run = text[a:bare]
@@ -302,7 +310,7 @@ def _breaks_in(text: str, s: int, e: int, out: list[int], lang: str) -> int:
         elif c and c in _CONT and c not in _DASHES:
             continue
         marks += 1
-        if text[begin:a].strip(_SPACE) == "" and out:
+        if out and start_of(begin) >= a:
             out[-1] = k  # marks alone belong to the sentence before
         else:
             out.append(k)

@@ -328,16 +328,15 @@ def _switches(cls: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 def _repeated(cps: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Code points inside a stretch that repeats one to ``_LONGEST_PERIOD`` characters at least three times, its first occurrence left out."""
-    out = np.zeros(len(cps), bool)
+    change = np.zeros(len(cps) + 1, np.int64)
     for p in range(1, _LONGEST_PERIOD + 1):
         if len(cps) <= 2 * p:
             break
         same = (cps[p:] == cps[:-p]) & (rows[p:] == rows[:-p])
         start, length = _runs(same, rows[p:])
         keep = length >= 2 * p
-        for s, k in zip(start[keep].tolist(), length[keep].tolist()):
-            out[s + p : s + p + k] = True
-    return out
+        change += np.bincount(start[keep] + p, minlength=len(change)) - np.bincount(start[keep] + p + length[keep], minlength=len(change))
+    return np.cumsum(change[:-1]) > 0
 
 
 def _distinct_words(cps: np.ndarray, rows: np.ndarray, cjk: np.ndarray, hashes: np.ndarray, token_row: np.ndarray, n: int) -> np.ndarray:

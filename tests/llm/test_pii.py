@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from staylens.llm.pii import KINDS, find_spans, luhn, mentions, mod11_2, mod97, redact, redacted
@@ -82,3 +84,10 @@ MADE_UP = [
 @pytest.mark.parametrize("text,want", MADE_UP)
 def test_other_wording(text, want):
     assert [(k, a + 1) for a, _, k, _ in find_spans(text)] == want
+
+
+@pytest.mark.parametrize("part,n", [("路1号", 20_000), ("a@", 60_000), ("a at b ", 30_000), ("1 ", 60_000), ("王小明，", 30_000), ("12-", 60_000), ("Ab Cd ", 20_000)])
+def test_very_long_texts_take_no_more_than_their_length(part, n):
+    begun = time.perf_counter()
+    find_spans(part * n)
+    assert time.perf_counter() - begun < 5

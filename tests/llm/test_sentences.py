@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,3 +84,10 @@ def test_table(spark):
     out = sentences(spark.createDataFrame(rows, "doc_id long, text string, end_pos string"))
     assert sorted((r["doc_id"], r["sentence_no"], r["start_pos"], r["end_pos"]) for r in out.collect())[::2] == [(1, 1, 1, 7), (1, 2, 9, 10)]
     assert sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("part", ["“", "“a", "\"", "(“a ", "« a « ", "a. ", "a\n", "あ い "])
+def test_very_long_texts_take_no_more_than_their_length(part):
+    begun = time.perf_counter()
+    assert sentence_ends(part * 60_000)
+    assert time.perf_counter() - begun < 5
