@@ -1,4 +1,4 @@
-"""Command line: ``python -m staylens --build | --query TEXT [--hyde] | --interactive`` over a data folder."""
+"""Command line: ``python -m staylens --build | --query TEXT [--hyde] | --interactive | --serve PORT`` over a data folder."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from .plans.build import Stores, build
 from .plans.engine import HybridSearch, formatted
+from .serve import server
 from .session import local_session
 from .sources import tables as S
 
@@ -17,9 +18,10 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--query", help="answer one question")
     p.add_argument("--hyde", action="store_true", help="search with a hypothetical answer too")
     p.add_argument("--interactive", action="store_true", help="answer questions until q, quit or exit")
+    p.add_argument("--serve", type=int, metavar="PORT", help="answer questions over HTTP on this machine")
     p.add_argument("--data-dir", default="data")
     o = p.parse_args(args)
-    if not (o.build or o.query or o.interactive):
+    if not (o.build or o.query or o.interactive or o.serve):
         p.print_help()
         return 0
     spark, d = local_session(), o.data_dir
@@ -31,6 +33,9 @@ def main(args: list[str] | None = None) -> int:
     if o.query:
         print(formatted(engine.query(o.query, o.hyde)))
         return 0
+    if o.serve:
+        server(engine, o.serve).serve_forever()
+        return 0
     for line in sys.stdin:
         text = line.strip()
         if text.lower() in ("q", "quit", "exit"):

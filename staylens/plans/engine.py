@@ -166,7 +166,7 @@ class HybridSearch:
             heads = [{"category": r["category"], "summary": r["summary"][:200] + "...", "comment_count": r["comment_count"]} for r in found]
             for df in (summaries, fused, reranked, final):
                 df.unpersist()
-            yield {"stage": "result", "answer": answer, "summaries": heads, "top_comments": tops, "latency": t, "info": info}
+            yield {"stage": "result", "status": "done", "answer": answer, "summaries": heads, "top_comments": tops, "latency": t, "info": info}
         except Exception as e:  # noqa: BLE001 - told to the listener
             yield {"stage": "error", "status": "error", "message": str(e)}
 

@@ -1,6 +1,9 @@
 """Build, search, events, ingestion."""
 
 import json
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 
@@ -8,6 +11,7 @@ from staylens.models import HashEmbedder, OfflineModel, parse_intent, parse_json
 from staylens.plans.build import COMMENT_STORE, Stores, build, ingest_comments, upsert
 from staylens.operators.bm25 import Bm25Index
 from staylens.plans.engine import HybridSearch, formatted, server_sent
+from staylens.serve import server
 from staylens.sources import tables as S
 from staylens.streaming.ingest import ingest
 
@@ -50,6 +54,26 @@ def test_events(engine):
     assert [e["stage"] for e in engine.events("  ")] == ["error"]
 
 
+def test_http(engine):
+    web = server(engine, 0)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{web.server_address[1]}/api/"
+    post = lambda body, path="query": urllib.request.urlopen(urllib.request.Request(url + path, body.encode(), {"Content-Type": "application/json"}))
+    try:
+        assert json.load(urllib.request.urlopen(url + "health")) == {"status": "ok"}
+        with post(json.dumps({"query": "泳池", "hyde": True})) as r:
+            assert r.headers["Content-Type"].startswith("text/event-stream")
+            lines = [x for x in r.read().decode().split("\n\n") if x]
+        assert lines[-1] == "data: [DONE]" and json.loads(lines[-2][6:])["top_comments"]
+        for body, path, code in (("{\"query\": \" \"}", "query", 400), ("[1]", "query", 400), ("{", "query", 400), ("{}", "other", 404)):
+            with pytest.raises(urllib.error.HTTPError) as e:
+                post(body, path)
+            assert e.value.code == code
+    finally:
+        web.shutdown()
+        web.server_close()
+
+
 def test_failing_models(engine, spark):
     class Broken:
         def complete(self, *a):
