@@ -71,3 +71,16 @@ def test_a_theme_of_few_texts_has_its_own_centre(spark):
     out = varied_subsets(texts, cats, spark.createDataFrame([(1, None, 3060)], ASK)).collect()
     of = {k: {r["cluster"] for r in out if r["doc_id"][0] == k} for k in "ab"}
     assert of["a"] and of["b"] and not of["a"] & of["b"]
+
+
+def test_requests_above_a_thousand_and_a_hot_category(spark):
+    rnd = random.Random(6)
+    rows = [(f"{i:05d}", "".join(rnd.choice("春江花月夜海上明共潮生") for _ in range(12))) for i in range(4000)]
+    texts = spark.createDataFrame(rows, "doc_id string, comment string")
+    cats = spark.createDataFrame([(d, "hot") for d, _ in rows], "doc_id string, category string")
+    ask = spark.createDataFrame([(1, "hot", 1500), (2, None, 1200), (3, "hot", 1500), (4, "hot", 9000)], ASK)
+    out = varied_subsets(texts, cats, ask, clusters=8).collect()
+    got = {k: [r["doc_id"] for r in out if r["request_id"] == k] for k in (1, 2, 3, 4)}
+    distinct = len({t for _, t in rows})
+    assert [len(v) for v in got.values()] == [1500, 1200, 1500, distinct] and all(len(set(v)) == len(v) for v in got.values())
+    assert sorted(got[1]) == sorted(got[3])
