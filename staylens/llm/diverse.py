@@ -22,7 +22,7 @@ from .normalize import normalize_codepoints, real_text
 
 DIM, CLUSTERS = 128, 64
 NEAR = 0.9  #: squared distance of unit vectors: a cosine of 0.55
-SEED_ROUNDS, ROUNDS = 4, 5  #: passes over all texts that propose seeds, and batches they are cut into that move the centres
+SEED_ROUNDS, ROUNDS = 3, 5  #: passes over all texts that propose more seeds, and batches they are cut into that move the centres
 SALTS = 32  #: parts of a cluster that are ranked on their own
 GRID = 32767  #: vectors are kept as 16-bit integers, so sums are exact and do not depend on their order
 
@@ -83,8 +83,8 @@ def _vectors(column: pa.Array) -> np.ndarray:
 def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
     """Centres (<= k, DIM) of all points (k1, k2, v): k-means|| seeds, then mini-batch k-means; only centres and their sums reach the driver.
 
-    A round of seeding draws 2k points by their squared distance from those proposed so far, without
-    points within ``NEAR`` of one; the proposals, weighted by the points nearest to them, are thinned to k.
+    Seeding draws 2k points of all, and then in each round 2k more by their squared distance from those
+    proposed so far, without points within ``NEAR`` of one; the proposals, weighted by the points nearest to them, are thinned to k.
     The points are then cut by their keys into ``ROUNDS`` batches that hold all of them, and each batch
     moves the centres once.
     """
@@ -133,7 +133,7 @@ def fit_centres(points: DataFrame, k: int, seed: int = 5) -> np.ndarray:
             total[r["j"]] += np.frombuffer(bytes(r["total"]))
         return n, total
 
-    proposed = draw(np.zeros((0, DIM)), 0)[:1]
+    proposed = draw(np.zeros((0, DIM)), 0)  # without proposals every point weighs the same
     if not len(proposed):
         return np.zeros((1, DIM))
     for number in range(1, SEED_ROUNDS + 1):
