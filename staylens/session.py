@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.applicationId not in _SHARED:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master or "").startswith("local["):
+        if not named and sc.master != "local" and not (sc.master or "").startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _SHARED[sc.applicationId] = named or tempfile.mkdtemp(prefix="staylens-checkpoint-")
     return _SHARED[sc.applicationId]

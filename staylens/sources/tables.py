@@ -105,9 +105,14 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get_or_create(spark: SparkSession, path: str, schema: str, partition: str | None = None) -> tuple[DataFrame, int]:
-    """The store at ``path``, made empty where missing, and its row count; ``partition`` is the column of its folders."""
-    if not exists(spark, path):
-        spark.createDataFrame([], schema).write.parquet(path)
+    """The store at ``path``, made empty where missing, and its row count; ``partition`` is the column of its folders.
+
+    A folder without any table in it, as a creation that was cut off leaves it, is made anew.
+    """
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
     reader = spark.read.schema(schema) if partition else spark.read
     df = reader.parquet(path)
     return df, df.count()

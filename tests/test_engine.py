@@ -166,3 +166,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(S.StoreMissing):
         S.open_store(spark, str(tmp_path / "none"))
     assert S.get_or_create(spark, str(tmp_path / "new"), "a int")[1] == 0
+    (tmp_path / "cut" / "_temporary").mkdir(parents=True)  # a creation that was cut off
+    assert S.get_or_create(spark, str(tmp_path / "cut"), "a int")[1] == 0
+    spark.range(3).write.parquet(str(tmp_path / "old"))
+    assert S.get_or_create(spark, str(tmp_path / "old"), "id long")[1] == 3
